@@ -12,11 +12,14 @@ length and look their slot up.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import Scratch, widened
-from tarn.llm.words import WordCache, chunks, distinct_words
+from tarn.llm.words import chunks, distinct_words
 
 #: Rows of one length that one task ranks, at most, and at least.
 MOST_RANKED, LEAST_RANKED = 250_000, 256
@@ -131,18 +134,86 @@ def _slots(packed: list) -> tuple[np.ndarray, ...]:
     return tuple(table[:, i] for i in range(5))
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> WordCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class _Encoder:
+    """Ids of distinct words, as little-endian bytes of 32-bit numbers; remembers words that recur.
+
+    Where the tokenizer takes letter runs and punctuation runs apart and marks the end of each, words of letters
+    with punctuation behind them are taken apart here: their stems are encoded many at a time, separated by spaces,
+    and cut at the end marks.
+    """
 
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    #: Stems in one string; recurring words to remember; ASCII punctuation that begins no contraction.
+    TOGETHER, MOST, MARKS = 1000, 400_000, "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path)
+        # Special tokens' strings in a text are ordinary text.
+        self.model.encode_special_tokens = True
+        parts = json.loads(Path(path).read_text())
+        pattern = json.dumps(parts.get("pre_tokenizer"))
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.splits = bool(suffix) and r"|[\\p{L}]+|" in pattern and r"|[^\\s\\p{L}\\p{N}]+" in pattern
+        vocab = self.model.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        if self.splits:
+            self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _stems(self, words: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for group, got in zip(groups, self.model.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False), strict=True):
+            ids = np.array(got.ids, "<u4")
+            cuts = (4 * (np.nonzero(self.ends[ids])[0] + 1)).tolist()
+            if len(cuts) != len(group) or cuts[-1] != 4 * len(ids):
+                out += self._each(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def __call__(self, words: list[str], counts: np.ndarray) -> list[bytes]:
+        """The ids of each word; ``counts``: how often it occurs in the batch."""
+        stems, tails, odd = [], [], []
+        for i, word in enumerate(words):
+            stem, tail = word, ""
+            if self.splits and not word.isalpha():
+                stem = word.rstrip(self.MARKS)
+                tail = word[len(stem) :]
+            # Normalising some letters yields marks, which are runs of their own.
+            if not self.splits or not (stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha())):
+                odd.append(i)
+                stem, tail = word, ""
+            elif stem.isascii():
+                stem = stem.lower()
+            stems.append(stem)
+            tails.append(tail)
+        known, own = self.known, {}
+        whole = {stems[i] for i in odd}
+        fresh = [x for x in dict.fromkeys(stems) if x not in known and x not in whole]
+        own.update(zip(fresh, self._stems(fresh), strict=True))
+        fresh = [x for x in [*whole, *dict.fromkeys(tails)] if x and x not in known]
+        own.update(zip(fresh, self._each(fresh), strict=True))
+        own[""] = b""
+        out = [(own.get(a) or known.get(a, b"")) + (own.get(b) or known.get(b, b"")) if b else own.get(a) or known.get(a, b"") for a, b in zip(stems, tails, strict=True)]
+        if len(known) + len(own) > self.MOST:
+            known.clear()
+        for i in np.nonzero(counts > 1)[0].tolist():
+            for x in (stems[i], tails[i]):
+                if x in own and len(x) < 64 and len(known) < self.MOST:
+                    known[x] = own[x]
+        return out
 
-    def encode(words: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in model.encode_batch_fast(words, add_special_tokens=False)]
 
-    return WordCache(encode)
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _Encoder:
+    return _Encoder(path)
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -159,9 +230,9 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
         for batch in batches:
             for part in chunks(batch, "_text"):
                 names, codes, offsets = distinct_words(part.column("_text"))
-                per_word = encode(names)
-                sizes = np.fromiter(map(len, per_word), np.int64, len(per_word))
-                flat = np.concatenate([*per_word, np.zeros(0, np.uint32)])
+                per_word = encode(names, np.bincount(codes, minlength=len(names)))
+                sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
+                flat = np.frombuffer(b"".join(per_word), "<u4")
                 starts = np.cumsum(sizes) - sizes
                 n_ids = sizes[codes]
                 ends = np.cumsum(n_ids)
