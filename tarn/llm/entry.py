@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from pathlib import Path
 
@@ -9,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import langid, mixing, packing, sharding, tokens, topk
+from tarn.llm import langid, lines, mixing, packing, quality, sharding, tokens, topk
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -24,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -32,6 +37,10 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.clean_pages(table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -46,14 +55,29 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of their numbers.
-QUERIES = (op1_sharding, op4_best_fit_packing, op5_exact_top_k, op7_token_counts, op9_mixing, op10_language_id)
+QUERIES = (op1_sharding, op3_quality_rules, op4_best_fit_packing, op5_exact_top_k, op6_line_dedup, op7_token_counts, op9_mixing, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+def _quoted(text: str) -> str:
+    """An SQL expression for a string, of which line breaks and other control characters are written as chr()."""
+    return " || ".join(f"chr({ord(x)})" if len(x) == 1 and ord(x) < 32 else "'" + x.replace("'", "''") + "'" for x in re.split("([\x00-\x1f])", text) if x) or "''"
+
+
+def _line_dedup_sql() -> str:
+    text = "html"
+    for pattern, into in lines.HTML_STEPS:
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(into)}, 'g')"
+    return _sql("oracle_lines.sql").replace("{text}", text).replace("{blank}", f"({_quoted(lines.BLANK)})")
+
+
+def _sql(name: str) -> str:
+    return Path(__file__).with_name(name).read_text()
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; tests/llm hold the others against brute-force versions."""
-    own = {"op9_mixing": "oracle_mix.sql"}
-    return {k: Path(__file__).with_name(v).read_text() for k, v in own.items()}
+    return {"op6_line_dedup": _line_dedup_sql(), "op9_mixing": _sql("oracle_mix.sql")}
