@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import langid, lines, mixing, packing, quality, sharding, tokens, topk
+from tarn.llm import langid, lines, mixing, packing, pii, quality, sharding, tokens, topk
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -45,6 +45,11 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.sanitise(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.decided(table(spark, sf_dir, "documents"))
     return rows.select("_row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
@@ -55,7 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of their numbers.
-QUERIES = (op1_sharding, op3_quality_rules, op4_best_fit_packing, op5_exact_top_k, op6_line_dedup, op7_token_counts, op9_mixing, op10_language_id)
+QUERIES = (op1_sharding, op3_quality_rules, op4_best_fit_packing, op5_exact_top_k, op6_line_dedup, op7_token_counts, op8_pii, op9_mixing, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
