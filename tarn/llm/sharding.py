@@ -85,8 +85,8 @@ def propagate(rows: DataFrame, members: DataFrame, shards: int, capacity: float,
     return out
 
 
-def _bucket(row: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(row, F.lit(0)), F.lit(buckets)).cast("int")
+def _bucket(row: Column, buckets: int, seed: int = 0) -> Column:
+    return F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(buckets)).cast("int")
 
 
 def _dealt(rows: DataFrame, room: np.ndarray, buckets: int) -> DataFrame:
@@ -158,7 +158,8 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", rounds: int = 6
             load[r["label"]] += r["bytes"]
         done.append(tier.select("row", "label"))
     placed = base.drop("same").join(done[0].unionAll(done[1]).unionAll(done[2]).unionAll(done[3]), "row")
-    placed = placed.select("*", _bucket(F.col("row"), buckets).alias("_bucket"))
+    # Not the buckets of the line, in each of which few shards have all rows.
+    placed = placed.select("*", _bucket(F.col("row"), buckets, 5).alias("_bucket"))
     counts = scratch.save(placed.groupBy("label", "_bucket").agg(F.count(F.lit(1)).alias("_n")))
     before = counts.select("label", "_bucket", (F.sum("_n").over(Window.partitionBy("label").orderBy("_bucket")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bucket", "label").orderBy("row"))
