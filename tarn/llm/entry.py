@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import langid, lines, mixing, packing, pii, quality, sharding, tokens, topk
+from tarn.llm import jaccard, langid, lines, mixing, packing, pii, quality, sharding, tokens, topk
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -25,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,7 +64,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: In the order of their numbers.
-QUERIES = (op1_sharding, op3_quality_rules, op4_best_fit_packing, op5_exact_top_k, op6_line_dedup, op7_token_counts, op8_pii, op9_mixing, op10_language_id)
+QUERIES = (op1_sharding, op2_ngram_jaccard_join, op3_quality_rules, op4_best_fit_packing, op5_exact_top_k, op6_line_dedup, op7_token_counts, op8_pii, op9_mixing, op10_language_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -85,4 +89,4 @@ def _sql(name: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; tests/llm hold the others against brute-force versions."""
-    return {"op6_line_dedup": _line_dedup_sql(), "op9_mixing": _sql("oracle_mix.sql")}
+    return {"op2_ngram_jaccard_join": _sql("oracle_jaccard.sql"), "op6_line_dedup": _line_dedup_sql(), "op9_mixing": _sql("oracle_mix.sql")}
