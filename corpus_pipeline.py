@@ -1,20 +1,50 @@
-"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing and packing."""
+"""A corpus pipeline: quality rules, line dedup, near-duplicate removal, mixing of sources, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import packing
+from tarn.llm import jaccard, lines, mixing, packing, quality
 from tarn.llm.entry import WORD_BPE
+from tarn.llm.scratch import Scratch
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the base or a rule learned from ``labels`` rejects."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that are on more than a tenth of a source's documents, and on five at least; every document stays."""
+    return lines.clean_documents(docs)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each class of near duplicates."""
+    return jaccard.one_of_each(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target and its key say: not at all, once or twice."""
+    return mixing.mix(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path(WORD_BPE))
 
 
-STAGES = [("best_fit_packing", pack)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard_join),
+    ("mixing_sources", mixing_sources),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Learned rules and the tokenizer are beyond SQL; tests/llm hold the stages against brute-force versions.
 ORACLE_SQL = None
@@ -22,8 +52,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over ``documents``; each stage's result is written before the next one reads it."""
-    from tarn.llm.scratch import Scratch
-
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
