@@ -134,6 +134,8 @@ def _term_frequencies(docs: DataFrame, text: str, only: np.ndarray | None) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = wanted.value
+        # Counts of candidates leave a task once, those of all terms batch by batch.
+        total = None if only is None else np.zeros(len(only), np.int64)
         for batch in batches:
             for part in chunks(batch, "_text"):
                 names, codes, offsets = distinct_words(part.column("_text"))
@@ -159,7 +161,13 @@ def _term_frequencies(docs: DataFrame, text: str, only: np.ndarray | None) -> Da
                 at = np.repeat(first[codes] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
                 pairs = np.unique(np.repeat(doc, many) * len(terms) + number[at])
                 n = np.bincount(pairs % len(terms), minlength=len(terms))
-                yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["t", "n"])
+                if total is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(n)], names=["t", "n"])
+                else:
+                    total[np.searchsorted(only, terms)] += n
+        if total is not None:
+            found = np.nonzero(total)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(only[found]), pa.array(total[found])], names=["t", "n"])
 
     rows = docs.select(F.col(f"`{text}`").alias("_text")).where("_text is not null")
     return rows.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
