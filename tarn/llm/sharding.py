@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tarn.llm.scratch import Scratch
 
+#: How far shards may outgrow their target while labels move; what is above it is dealt out again.
+SLACK = 1.05
 #: A hub holds at most this share of a shard's bytes and rows; larger groups of equal texts are linked in parts.
 HUB_SHARE = 8
 #: Rows that one bucket of the dealing line holds about, and how many buckets there are at most.
@@ -90,12 +92,15 @@ def _bucket(row: Column, buckets: int, seed: int = 0) -> Column:
 
 
 def _dealt(rows: DataFrame, room: np.ndarray, buckets: int) -> DataFrame:
-    """Labels ``rows`` (row, size, _bucket): laid on a line, bucket after bucket, and cut in proportion to ``room``."""
+    """Labels ``rows`` (row, size, _key, _bucket): laid on a line, bucket after bucket, and cut in proportion to ``room``.
+
+    Rows of one key lie side by side.
+    """
     sums = {r["_bucket"]: r["bytes"] for r in rows.groupBy("_bucket").agg(F.sum("size").alias("bytes")).collect()}
     own = np.array([sums.get(b, 0) for b in range(buckets)], np.int64)
     before = (np.cumsum(own) - own).tolist()
     cuts = (np.cumsum(room)[:-1] / max(room.sum(), 1e-9) * own.sum()).tolist()
-    inside = Window.partitionBy("_bucket").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_bucket").orderBy("_key", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.element_at(F.lit(before), F.col("_bucket") + 1) + F.sum("size").over(inside) - F.col("size") / 2
     # The number of cuts at or before the middle, found by halving.
     def cut(lo: int, hi: int) -> Column:
@@ -135,7 +140,7 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", rounds: int = 6
     part = F.pmod(F.xxhash64("row", F.lit(1 << 20)), F.col("parts"))
     linked = base.join(groups, ["same", "size"]).select("row", "size", F.xxhash64("same", "size", part).alias("hub"))
     linked = scratch.save(linked)
-    labels = propagate(linked.select("row", "size"), linked.select("row", "hub"), shards, target, rounds)
+    labels = propagate(linked.select("row", "size"), linked.select("row", "hub"), shards, SLACK * target, rounds)
     load = np.zeros(shards)
     for r in labels.groupBy("label").agg(F.sum("size").alias("bytes")).collect():
         load[r["label"]] = r["bytes"]
@@ -145,7 +150,9 @@ def shard(docs: DataFrame, shards: int = 24, text: str = "text", rounds: int = 6
     if min(stay) < 1:
         luck = F.pmod(F.xxhash64("hub", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
         kept = scratch.save(labels.join(linked.select("row", "hub"), "row").where(luck < F.element_at(F.lit(stay), F.col("label") + 1)).select("row", "size", "label"))
-    free = scratch.save(base.join(kept.select("row"), "row", "left_anti").select("row", "size").withColumn("_bucket", _bucket(F.col("row"), buckets)))
+    free = base.join(kept.select("row"), "row", "left_anti").select("row", "size").join(linked.select("row", "hub"), "row", "left")
+    free = free.select("row", "size", F.coalesce("hub", F.xxhash64("row")).alias("_key"))
+    free = scratch.save(free.withColumn("_bucket", _bucket(F.col("_key"), buckets)))
     done, mean = [kept.select("row", "label")], total / max(n, 1)
     load = np.zeros(shards)
     for r in kept.groupBy("label").agg(F.sum("size").alias("bytes")).collect():
