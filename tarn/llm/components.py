@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links larger neighbours, then smaller ones, to the smallest neighbour, until every component is a
     star (Kiveris et al., Connected Components in MapReduce and Beyond). A round joins edges with one number per
-    node, read from a written table, so that a node with very many edges can be split.
+    node, so that a node with very many edges can be split over tasks.
     """
     scratch = Scratch(edges.sparkSession)
     now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -24,11 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = scratch.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        lower = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        # Kept by the executors within a round, so that either side of a join can be split; a round's result is written.
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).persist()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct().persist()
+        lower = large.groupBy("u").agg(F.min("v").alias("m")).persist()
         joined = large.join(lower, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v")))
         after = scratch.save(small.distinct())
-        scratch.drop(now, least, large, lower)
+        for frame in (lower, large, least):
+            frame.unpersist()
+        scratch.drop(now)
         now = after

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.components import components
 from tarn.llm.scratch import Scratch
-from tarn.llm.words import chunks, distinct_words
+from tarn.llm.words import bounded_batches, chunks, distinct_words
 
 #: Words in a shingle, similarity from which texts are linked.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -36,7 +36,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 WIDTH = 64
 LEAST_EQUAL = int(WIDTH * SIMILARITY - 4.5 * (WIDTH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Sets in a leaf or block; a node with more than this share of its parent's sets is not split further.
-LEAF, ALIKE, DEEPEST = 400, 0.7, 12
+LEAF, ALIKE, DEEPEST = 256, 0.7, 12
+#: Elements of a task's sets up to which their common ones are counted by matrix products.
+DENSE = 2_000_000
 #: The chance that a pair with exactly the similarity sought is found; runs of the first batch.
 RECALL, FIRST_RUNS = 0.9999, 4
 #: Sets whose texts are fetched by a broadcast of their keys, at most.
@@ -154,11 +156,13 @@ def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFra
     schema = "node long, rep long, was long"
     rows, leaves, depth = sets.select("rep", "vector").mapInArrow(roots, schema), [], 1
     while True:
-        rows = scratch.save(rows)
-        counts = scratch.save(rows.groupBy("node").agg(F.count(F.lit(1)).alias("count")).where("count > 1"))
+        # Cheap to make again from the sets, so kept by the executors for the time of one job; what goes on is written.
+        rows = rows.persist()
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count")).where("count > 1").persist()
         done = (F.col("count") <= LEAF) | (F.col("count") > ALIKE * F.col("was")) | F.lit(depth >= DEEPEST)
         live = scratch.save(rows.join(counts, "node").select("node", "rep", "count", done.alias("done")))
-        scratch.drop(rows, counts)
+        counts.unpersist()
+        rows.unpersist()
         leaves.append(live.where("done").select("node", "rep", "count"))
         large = live.where("not done")
         if large.isEmpty():
@@ -278,7 +282,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The number of common elements of each pair of sets."""
-    if len(left) <= 4 * len(sets):
+    if len(left) <= 4 * len(sets) or sum(map(len, sets)) > DENSE:
         return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(left, right, strict=True)], np.int64)
     of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -359,6 +363,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     scratch = Scratch(spark)
     base = scratch.save(_embedded(docs, text))
     keys = ["a", "b", "n"]
@@ -367,7 +372,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     equal = scratch.save(base.where("n >= 0").groupBy(*keys).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), first))
     sets = equal.select("rep", "copies").join(base.select(F.col("row").alias("rep"), "n", "vector", "doc_id", "same", "size"), "rep")
     sets = scratch.save(sets.where("n > 0"))
-    rows = _tasks(scratch.save(_leaves(sets, scratch)), sets)
+    rows = _tasks(_leaves(sets, scratch), sets)
     order = rows.repartition("task").sortWithinPartitions("task")
     near = scratch.save(order.mapInArrow(_sketched, order.schema))
     wanted = near.select("rep").distinct().join(sets.select("rep", "doc_id", "same", "size"), "rep")

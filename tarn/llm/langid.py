@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import widened
-from tarn.llm.words import chunks, distinct_words, sums
+from tarn.llm.words import bounded_batches, chunks, distinct_words, sums
 
 #: Buckets that n-grams are hashed to, as a power of two, and the longest n-gram.
 BITS, LONGEST = 15, 4
@@ -171,6 +171,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     text, as many of each language, or all of a language that has fewer; whole texts each. Without any row the
     model has no language.
     """
+    bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang")).where("_text is not null and _lang is not null")
     counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(counts)
@@ -223,6 +224,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[Column, ...], text: str =
 
     A null text, or one without a letter, gets ``und`` and 0, as does every text if the model has no language.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col(f"`{text}`").alias("_text"))
     columns = kept.columns[:-1]
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import Scratch, widened
-from tarn.llm.words import chunks, distinct_words
+from tarn.llm.words import bounded_batches, chunks, distinct_words
 
 #: Rows of one length that one task ranks, at most, and at least.
 MOST_RANKED, LEAST_RANKED = 250_000, 256
@@ -223,6 +223,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
     it, so that a text's ids are its words' ids in turn. Only a document longer than ``capacity`` is cut, into
     pieces of ``capacity`` and a last one. A null text counts as empty: one piece, the end id alone.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.select("doc_id", F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import Scratch, widened
-from tarn.llm.words import chunks, distinct_words
+from tarn.llm.words import bounded_batches, chunks, distinct_words
 
 #: In the order in which spans are listed; ``term`` is what co-occurrence adds.
 KINDS = ("email", "ip", "card", "phone")
@@ -232,6 +232,7 @@ def sanitise(docs: DataFrame, text: str = "text", share: float = 0.8, certain: f
     whole, every pattern in linear time; repeated rows fare alike; an empty table gives no rows; other columns are
     not read.
     """
+    bounded_batches(docs.sparkSession)
     read = Scratch(docs.sparkSession).save(_read(docs, text))
     got = disclosures(docs, read, text, share, certain, support)
     if got is None:

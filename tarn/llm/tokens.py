@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import widened
-from tarn.llm.words import WordCache, chunks, distinct_words, sums
+from tarn.llm.words import WordCache, bounded_batches, chunks, distinct_words, sums
 
 #: Marks the start of a word in the vocabulary.
 START = "▁"
@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tup
     row; an empty table gives none. Other columns are not read, so their names cannot clash. ``vocab_path`` must
     name a file that every executor has.
     """
+    bounded_batches(docs.sparkSession)
     kept = docs.select(*[F.col(f"`{x}`") for x in keep], F.col(f"`{text}`").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,17 +5,32 @@ A word is a maximal run of characters outside ``\\x20\\x09-\\x0D``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: A word, for Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that are turned into words at a time; a longer text is a batch of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+
+
+#: Bytes in one Arrow batch, about: batches of a fixed number of whole texts have no bound.
+ARROW_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small, as texts of any length go through them whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    size = int(re.sub("[^0-9-]", "", now)) if re.fullmatch("-?[0-9]+b?", now) else 0
+    if not 0 < size <= ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
