@@ -262,6 +262,7 @@ def redact(text: str, base: str, terms: list[tuple[int, int, bool]]) -> str:
 
 def sanitised_texts(found: DataFrame) -> DataFrame:
     """doc_id and text of the rows of ``sanitise`` that have spans, without them; all other texts are as they were."""
+    bounded_batches(found.sparkSession)
     rows = found.where("text is not null").select("doc_id", "base", "starts", "ends", "gone", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

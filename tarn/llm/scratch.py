@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import DataType, StructField, StructType
@@ -24,6 +26,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application, so that their Python finds it wherever the driver did."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="tarn-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    copy = Path(folder) / "files" / package.name
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", copy.parent))
+    _SHIPPED.add(context.applicationId)
+
+
 class Scratch:
     """Writes intermediate results as Parquet in the shared folder, so that a lost executor costs no recomputation.
 

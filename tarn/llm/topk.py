@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.llm.words import bounded_batches
+
 #: Queries that are broadcast together, about, and rows that are scored against them at a time.
 QUERY_BLOCK, ROW_BLOCK = 2048, 1024
 #: What an integer component is multiplied by before it is rounded down.
@@ -157,6 +159,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, groups: int = 2, ve
     is asked once, for its smallest vector. A query with fewer than k candidates gets them all; an empty table
     gives no rows. Scores beyond a long are saturated. Other columns are not read.
     """
+    bounded_batches(vectors.sparkSession)
     of, values = F.col(f"`{vec_id}`").cast("long"), F.col(f"`{vector}`")
     rows = vectors.select(of.alias("vec_id"), values.alias("embedding"))
     part = F.coalesce(~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))

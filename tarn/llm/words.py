@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
+from tarn.llm.scratch import ship
+
 #: A word, for Java, RE2 and Python alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -25,7 +27,8 @@ ARROW_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, as texts of any length go through them whole."""
+    """Readies a session for Python on the executors: keeps Arrow batches small, as texts of any length go through them whole."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     size = int(re.sub("[^0-9-]", "", now)) if re.fullmatch("-?[0-9]+b?", now) else 0
