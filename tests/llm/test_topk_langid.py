@@ -1,0 +1,162 @@
+"""Top-k search and language identification against plain versions."""
+
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tests.llm.conftest import awkward_rows, prose
+
+from tarn.llm import langid, topk
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def plain(rows, k=10, every=100):
+    """The k best by Python integers."""
+    import math
+
+    good = []
+    for key, v, *_ in rows:
+        if key is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
+            good.append((key, [math.floor(1024 * float(np.float32(x))) for x in v]))
+    asked: dict = {}
+    for key, v in good:
+        if key % every == 0:
+            asked[key] = min(asked.get(key, v), v)
+    out = []
+    for q, v in asked.items():
+        near = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), key) for key, w in good if key != q)[:k]
+        out += [(q, i + 1, key, -s) for i, (s, key) in enumerate(near)]
+    return sorted(out)
+
+
+def found(spark, rows, k=10, every=100, groups=2):
+    df = spark.createDataFrame(rows, VECTORS).repartition(3)
+    return sorted(map(tuple, topk.top_k(df, F.col("vec_id") % every == 0, k, groups).collect()))
+
+
+@pytest.mark.parametrize("groups", [1, 2, 5])
+def test_real_vectors(spark, groups):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    assert found(spark, rows, groups=groups, every=25) == plain(rows, every=25)
+
+
+def test_ties_hot_vectors_and_negative_scores(spark):
+    pick = np.random.default_rng(0)
+    rows = [(i, [1.0, 0.5, 0.0] if i % 3 == 0 else pick.integers(-2, 3, 3).astype(float).tolist(), 0) for i in range(2500)]
+    assert found(spark, rows) == plain(rows)
+    rows = [(i, [-1.0, float(-i % 7)], 0) for i in range(300)]
+    assert found(spark, rows) == plain(rows)
+
+
+def test_many_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 16)
+    pick = np.random.default_rng(1)
+    rows = [(i, pick.normal(size=8).astype(np.float32).tolist(), 0) for i in range(400)]
+    assert found(spark, rows, k=3, every=10) == plain(rows, 3, 10)
+
+
+def test_awkward_vectors(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(None, [1.0, 2.0], 0), (0, [1.0, 2.0], None), (100, None, 0), (200, [nan, 1.0], 0), (300, [inf, 1.0], 0), (400, [None, 1.0], 0), (1, [3.0, 1.0], 0), (1, [3.0, 1.0], 0), (2, [], 0), (3, [5.0], 0), (500, [2.0, -1.0], 0), (500, [1.0, 1.0], 0), (4, [0.3, -0.0004], 0)]
+    assert found(spark, rows) == plain(rows)
+    assert found(spark, rows[:1]) == [] and found(spark, [(100, [1.0], 0)]) == [] and found(spark, [(1, [1.0], 0)]) == []
+
+
+def test_very_large_numbers(spark):
+    """Products beyond a long are saturated, and then tie."""
+    rows = [(0, [1e9, 1e8], 0), (1, [1e9, -1e8], 0), (2, [3.0, 1.0], 0), (3, [-1e9, 1e8], 0), (4, [2e6, -3e6], 0)]
+    scores = {v: max(-(2**63), min(2**63 - 1, s)) for _, _, v, s in plain(rows)}
+    order = sorted(scores, key=lambda v: (-scores[v], v))
+    assert found(spark, rows) == [(0, i + 1, v, scores[v]) for i, v in enumerate(order)]
+
+
+SYLLABLES = {"aa": "ka lo mi pa tu".split(), "bb": "str gnu wyx zor blt".split(), "cc": "éà çê üö ñí ßä".split()}
+
+
+def corpus(n=300):
+    import random
+
+    rows = []
+    for i in range(n):
+        pick, lang = random.Random(i), sorted(SYLLABLES)[i % 3]
+        rows.append((i, " ".join("".join(pick.choice(SYLLABLES[lang]) for _ in range(pick.randint(1, 3))) for _ in range(pick.randint(3, 60))), lang, "s", 0))
+    return rows
+
+
+def test_held_out_accuracy(spark):
+    from tests.llm.conftest import DOCS
+
+    rows = corpus()
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, _, lang, *_ in rows:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert 0 <= got[i].score <= 1 and got[i].lang_pred == lang
+
+
+def test_real_held_out_accuracy(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(rows) > 200 and np.mean([r.lang == r.lang_pred for r in rows]) > 0.99
+
+
+def test_held_out_rows_teach_nothing(spark):
+    from tests.llm.conftest import DOCS
+
+    rows = corpus()
+    lies = [(i, t, "zz" if zlib.crc32(str(i).encode()) % 4 == 2 else lang, s, n) for i, t, lang, s, n in rows]
+    one, two = ({r.doc_id: (r.lang_pred, r.score) for r in langid.identify(spark.createDataFrame(x, DOCS)).collect()} for x in (rows, lies))
+    assert one == two
+
+
+def test_frequencies_count_texts(spark):
+    texts = ["ab ab", "ab cd", "", None, "12 3", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "_text string").where("_text is not null")
+    seen, n = langid.document_frequencies(df)
+    of = lambda *words: {int(b) for w in words for b in langid.word_grams([w])[0]}
+    expected = np.zeros(1 << langid.BITS, int)
+    for words in (("ab",), ("ab", "cd"), ("é",)):
+        expected[list(of(*words))] += 1
+    assert n == 3 and (seen == expected).all()
+
+
+def test_scores_equal_a_plain_sum(spark):
+    """A text's logits are the mean of its n-grams' weights."""
+    pick = np.random.default_rng(3)
+    model = langid.Model(["x", "y"], pick.normal(size=(1 << langid.BITS, 2)).astype(np.float32), np.array([0.1, -0.1]), 1.7)
+    texts = ["one two two", "Ünï çödé", "a", prose(1, 400), "x" * 3000]
+    got = langid.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model, (F.col("doc_id"),)).collect()
+    for r in got:
+        grams = [b for w in texts[r.doc_id].split() for b in langid.word_grams([w])[0]]
+        chance = langid._softmax((model.weights[np.array(grams, int)].astype(float).mean(0) + model.bias) / model.temperature)
+        assert r.lang_pred == model.langs[int(chance.argmax())] and np.isclose(r.score, chance.max())
+
+
+def test_regression_is_sparse_and_calibrated():
+    pick = np.random.default_rng(4)
+    rows = []
+    for i in range(400):
+        label = i % 2
+        at = np.unique(np.append(pick.integers(2, 200, 5), label if pick.random() < 0.8 else 1 - label))
+        rows.append((at, np.ones(len(at)), label))
+    w = langid.fit_regression(rows, 200, 2, l1=1.0)
+    assert (w[:-1] == 0).mean() > 0.2 and w[0, 0] > w[0, 1] and w[1, 1] > w[1, 0]
+    labels = np.array([y for _, _, y in rows])
+    logits = np.array([x @ w[at] + w[-1] for at, x, _ in rows])
+    t = langid._temperature(30 * logits, labels)
+    assert 10 < t / langid._temperature(logits, labels) < 60
+
+
+def test_awkward_languages(spark, awkward, clashing, empty):
+    none = {1, 2, 3}
+    for df in (awkward, clashing):
+        got = langid.identify(df).collect()
+        assert len(got) == len(awkward_rows())
+        assert all((r.lang_pred == "und" and r.score == 0) == (r.doc_id in none) for r in got)
+    assert langid.identify(empty).count() == 0
+    nobody = langid.identify(awkward.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r.lang_pred for r in nobody} == {"und"}
+    alone = langid.identify(awkward.withColumn("lang", F.lit("q"))).where("lang_pred <> 'und'").collect()
+    assert {r.lang_pred for r in alone} == {"q"} and all(r.score == 1 for r in alone)
