@@ -32,15 +32,15 @@ from tarn.llm.words import bounded_batches, chunks, distinct_words
 
 #: Words in a shingle, similarity from which texts are linked.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Minhash coordinates; how many must agree for a pair to be checked, 4.5 standard deviations below the mean.
+#: Minhash coordinates; how many must agree for a pair to be checked, 5.5 standard deviations below the mean.
 WIDTH = 64
-LEAST_EQUAL = int(WIDTH * SIMILARITY - 4.5 * (WIDTH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+LEAST_EQUAL = int(WIDTH * SIMILARITY - 5.5 * (WIDTH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Sets in a leaf or block; a node with more than this share of its parent's sets is not split further.
-LEAF, ALIKE, DEEPEST = 256, 0.7, 12
+LEAF, ALIKE, DEEPEST = 800, 0.7, 12
 #: Elements of a task's sets up to which their common ones are counted by matrix products.
 DENSE = 2_000_000
 #: The chance that a pair with exactly the similarity sought is found; runs of the first batch.
-RECALL, FIRST_RUNS = 0.9999, 4
+RECALL, FIRST_RUNS = 0.99999, 6
 #: Sets whose texts are fetched by a broadcast of their keys, at most.
 MOST_BROADCAST = 1_000_000
 
