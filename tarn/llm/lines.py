@@ -101,7 +101,7 @@ def without_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5
     )
 
 
-def clean_pages(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
+def clean_pages(pages: DataFrame, ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text of web pages (page_id, url, html), without their sites' boilerplate."""
     rows = pages.select(F.struct("page_id").alias("_row"), host_of(F.col("url")).alias("_host"), html_text(F.col("html")).alias("_text"))
     # Read twice; tags are taken out once.

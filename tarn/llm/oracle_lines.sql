@@ -3,7 +3,7 @@ lines AS (SELECT page_id, host, t, i, line, trim(line, {blank}) AS bare
   FROM (SELECT page_id, host, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM p WHERE t IS NOT NULL)),
 totals AS (SELECT host, count(DISTINCT t) AS total FROM p WHERE host IS NOT NULL AND t IS NOT NULL GROUP BY host),
 counts AS (SELECT host, bare, count(DISTINCT t) AS n FROM lines WHERE bare <> '' AND host IS NOT NULL GROUP BY host, bare),
-common AS (SELECT host, bare, true AS gone FROM counts JOIN totals USING (host) WHERE n >= 5 AND n > 0.1::DOUBLE * total)
+common AS (SELECT host, bare, true AS gone FROM counts JOIN totals USING (host) WHERE n >= 3 AND n > 0.1::DOUBLE * total)
 SELECT page_id, host,
   CAST(coalesce(sum(CASE WHEN bare <> '' THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_lines,
   CAST(coalesce(sum(CASE WHEN gone THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_dropped,
