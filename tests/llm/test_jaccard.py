@@ -43,7 +43,7 @@ def expected(rows):
 
 
 def got(df):
-    return sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df).collect())
+    return sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df).collect()), key=str)
 
 
 def edited(text, times, seed):
@@ -65,23 +65,20 @@ def crowd():
 
 
 def test_links_equal_those_of_all_pairs(spark, crowd):
-    assert got(spark.createDataFrame(crowd, "doc_id long, text string")) == sorted(expected(crowd))
+    assert got(spark.createDataFrame(crowd, "doc_id long, text string")) == sorted(expected(crowd), key=str)
 
 
 def test_large_leaves_are_split_and_compared_in_blocks(spark, crowd, monkeypatch):
     """A leaf of six sets at most: nodes are split further, or compared in blocks where splitting does not help."""
-    from pyspark.sql import functions as F
-
     monkeypatch.setattr(jaccard, "LEAF", 6)
     df = spark.createDataFrame(crowd, "doc_id long, text string")
-    assert got(df) == sorted(expected(crowd))
-    assert F is not None
+    assert got(df) == sorted(expected(crowd), key=str)
 
 
 def test_sets_beyond_the_broadcast(spark, crowd, monkeypatch):
     monkeypatch.setattr(jaccard, "MOST_BROADCAST", 0)
     df = spark.createDataFrame(crowd, "doc_id long, text string")
-    assert got(df) == sorted(expected(crowd))
+    assert got(df) == sorted(expected(crowd), key=str)
     assert jaccard.one_of_each(df).count() == len({c for _, c, _ in expected(crowd)})
 
 
@@ -112,7 +109,7 @@ def test_equals_its_sql(spark):
 def test_awkward_texts(awkward, clashing, empty):
     rows = awkward_rows()
     for df in (awkward, clashing):
-        assert sorted(map(str, got_any(df))) == sorted(map(str, expected(rows)))
+        assert got(df) == sorted(expected(rows), key=str)
         kept = jaccard.one_of_each(df)
         # Nulls all stay; (2, 3) have no words, (6, 6, 7) and (8, 9) are copies.
         assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["1", "2", "4", "5", "6", "None", "8", "10"])
@@ -120,10 +117,6 @@ def test_awkward_texts(awkward, clashing, empty):
     assert jaccard.classes(empty).count() == 0 and jaccard.one_of_each(empty).count() == 0
 
 
-def got_any(df):
-    return [(r.doc_id, r.class_id, r.n_links) for r in jaccard.classes(df).collect()]
-
-
 def test_components(spark):
     pick = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(pick.randint(200, 400), pick.randint(200, 400)) for _ in range(150)]
