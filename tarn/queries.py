@@ -347,6 +347,13 @@ def insert_rows(spark, sf_dir):
     return table.read()
 
 
+@query("SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey")
+def result_sink(spark, sf_dir):
+    """A result written under the lake's root and read again."""
+    table = loaded(spark, sf_dir, "nation")
+    return spark.read.parquet(table.lake.save_result(table.query(group_by="n_regionkey", aggregates=[("count", "*", "n")]), "by_region"))
+
+
 @query("SELECT event_id, event_type, value FROM events")
 def streaming_sink(spark, sf_dir):
     """An extra: a stream of Parquet files appended exactly once."""

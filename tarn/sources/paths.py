@@ -16,6 +16,10 @@ def table_dir(table: str) -> str:
     return f"tables/{table}"
 
 
+def result_dir(name: str) -> str:
+    return f"results/{name}/result.parquet"
+
+
 def data_file(number: int, unique: str | None = None) -> str:
     """A data file's path within its table."""
     return f"data/part-{number:05d}-{unique or uuid.uuid4()}.parquet"

@@ -202,6 +202,22 @@ class Lake:
     def query(self, table: str, **arguments) -> DataFrame:
         return self.table(table).query(**arguments)
 
+    def save_result(self, df: DataFrame, name: str, options: sources.WriterOptions | None = None) -> str:
+        """Writes a query's result under the lake's root, for others to read; returns where. A name is used once."""
+        check_table_name(name)
+        where = self.store.url(paths.result_dir(name))
+        (options or sources.WriterOptions()).of(df.write.mode("error")).parquet(where)
+        return where
+
+    def cached_snapshots(self) -> list[tuple[str, int]]:
+        """Which (table, version) are kept, the last used last."""
+        return [(name, version) for name, _, version in self._snapshots]
+
+    def forget(self, name: str) -> None:
+        """Drops the kept snapshots of a table; they are read again from its log when next asked for."""
+        for key in [x for x in self._snapshots if x[0] == name]:
+            del self._snapshots[key]
+
     def sql(self, text: str, versions: dict[str, int] | None = None) -> DataFrame:
         """Spark SQL over the lake's tables, each pinned to a version; see ``tarn.plans.sql``."""
         from tarn.plans.sql import sql

@@ -371,6 +371,20 @@ def test_transactions(table):
         late.status("unknown")
 
 
+def test_results_and_kept_snapshots(spark, table):
+    from pyspark.errors import AnalysisException
+
+    table.insert_rows([{"id": 1}, {"id": 2}])
+    where = table.lake.save_result(table.query(filters="id > 1"), "job_1")
+    assert ids(spark.read.parquet(where)) == [2] and where.endswith("results/job_1/result.parquet")
+    with pytest.raises(AnalysisException):
+        table.lake.save_result(table.read(), "job_1")
+    table.read(1), table.read(0)
+    assert table.lake.cached_snapshots()[-2:] == [("t", 1), ("t", 0)]
+    table.lake.forget("t")
+    assert table.lake.cached_snapshots() == [] and ids(table.read()) == [1, 2]
+
+
 def test_paths():
     assert paths.commit_file(7) == "00000000000000000007.json" and paths.commit_version("00000000000000000007.json") == 7
     assert paths.commit_version("7.json") is None and paths.commit_version("checkpoint_7.json") is None
