@@ -9,7 +9,8 @@ more than a bounded number of sets. Runs are repeated until the chance that a pa
 none of them, at the depth that leaves were found at, is below the target.
 
 Sets that are equal are one set from the start, with a number of copies. A pair that meets in several leaves is
-compared in the one with the smallest key only, which each side can tell from its list of leaves. Pairs are never
+compared in the one with the smallest key only, which each side can tell from its list of leaves. One byte of each
+minhash value is enough for that: chance agreement of bytes only adds pairs to check. Pairs are never
 rows: a task adds up links per set and links sets that belong together to the smallest one among them. Candidates
 from minhash values are checked on whole sets of 64-bit shingle hashes.
 """
@@ -87,7 +88,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def _embedded(docs: DataFrame, text: str) -> DataFrame:
-    """Per row: its key (row, doc_id, same, size), the number n of its shingles (-1: null text), their hash (a, b) and minhash vector."""
+    """Per row: its key (row, doc_id, same, size), the number n of its shingles (-1: null text), their hash (a, b), minhash vector and its lowest bytes."""
     body = F.col(f"`{text}`")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(body).alias("same"), F.octet_length(body).alias("size"), body.alias("_text"))
 
@@ -95,24 +96,26 @@ def _embedded(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             for part in chunks(batch, "_text"):
                 missing = np.asarray(part.column("_text").is_null())
-                n, a, b, vectors = [], [], [], []
+                n, a, b, vectors, sketches = [], [], [], [], []
                 for none, own in zip(missing, shingle_sets(part.column("_text")), strict=True):
                     n.append(-1 if none else len(own))
                     a.append(int(own.sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(_mix(own + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
-                    vectors.append(minhash(own).tobytes())
+                    vector = minhash(own)
+                    vectors.append(vector.tobytes())
+                    sketches.append(vector.astype(np.uint8).tobytes())
                 out = [part.column(x) for x in ("row", "doc_id", "same", "size")]
-                out += [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vectors, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "same", "size", "n", "a", "b", "vector"])
+                out += [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vectors, pa.binary()), pa.array(sketches, pa.binary())]
+                yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "same", "size", "n", "a", "b", "vector", "sketch"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, same long, size int, n long, a long, b long, vector binary")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, same long, size int, n long, a long, b long, vector binary, sketch binary")
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    """The minhash vectors of a batch, a row each."""
+def _vectors(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
+    """The minhash vectors of a batch, or their lowest bytes, a row each."""
     joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint32).reshape(-1, WIDTH)
+    return np.frombuffer(joined, kind).reshape(-1, WIDTH)
 
 
 def _children(nodes: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -184,7 +187,7 @@ def _leaves(sets: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _tasks(leaves: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows that a task compares: (task, node, side, alone, rep, copies, n, vector, leaves).
+    """The rows that a task compares: (task, node, side, alone, rep, copies, n, sketch, leaves).
 
     A leaf above the limit is dealt into blocks; each pair of blocks, and each block with itself, is a task.
     """
@@ -194,7 +197,7 @@ def _tasks(leaves: DataFrame, sets: DataFrame) -> DataFrame:
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other"))
     rows = rows.select(task.alias("task"), "node", "side", (F.col("side") == F.col("other")).alias("alone"), "rep")
-    return rows.join(own, "rep").join(sets.select("rep", "copies", "n", "vector"), "rep")
+    return rows.join(own, "rep").join(sets.select("rep", "copies", "n", "sketch"), "rep")
 
 
 class _Group:
@@ -258,7 +261,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _members(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[int, int, _Group]]:
-    sizes, vectors = batch.column("n").to_numpy(), _vectors(batch.column("vector"))
+    sizes, vectors = batch.column("n").to_numpy(), _vectors(batch.column("sketch"), np.uint8)
     side, node = batch.column("side").to_numpy(), batch.column("node").to_numpy()
     alone = batch.column("alone").to_numpy(zero_copy_only=False)
     lists = batch.column("leaves")
@@ -370,7 +373,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     # Nulls sort first: an id that is missing must not name a class.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
     equal = scratch.save(base.where("n >= 0").groupBy(*keys).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), first))
-    sets = equal.select("rep", "copies").join(base.select(F.col("row").alias("rep"), "n", "vector", "doc_id", "same", "size"), "rep")
+    sets = equal.select("rep", "copies").join(base.select(F.col("row").alias("rep"), "n", "vector", "sketch", "doc_id", "same", "size"), "rep")
     sets = scratch.save(sets.where("n > 0"))
     rows = _tasks(_leaves(sets, scratch), sets)
     order = rows.repartition("task").sortWithinPartitions("task")
@@ -385,7 +388,7 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     named = scratch.save(named.select(*keys, "copies", "least", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
     named = scratch.save(named.join(heads, "root").select(*keys, "head", (F.col("copies") - 1 + F.col("links")).alias("n_links")))
-    out = base.drop("vector").join(named, keys, "left")
+    out = base.drop("vector", "sketch").join(named, keys, "left")
     return out.select(
         "row", "doc_id", "same", "size",
         F.when(F.col("n") < 0, F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("class_id"),
