@@ -5,8 +5,9 @@ protected entity. The corpus tells how much a term reveals of an entity: their p
 the entity's own information content. In a document with the entity, terms that reveal at least a given share of
 it are generalised, and those that all but determine it are removed.
 
-Probabilities are shares of documents. A term must occur with the entity in a number of distinct texts, so that
-copies of one text prove nothing.
+Probabilities are shares of documents. Every entity's terms are scored, whatever its number of texts. The share of a
+term's documents that have the entity is taken as it is from a number of distinct texts with both on; from fewer it
+is the lower end of its confidence interval, in which copies of one text count as one observation.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import Scratch, widened
@@ -29,6 +30,8 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Candidate terms up to which they are broadcast, 8 bytes each; with more of them all terms are counted and joined.
 MOST_BROADCAST = 1_000_000
+#: Standard deviations to the lower end of a share's confidence interval (Wilson's, 95 %, one-sided).
+CONFIDENCE = 1.645
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -114,7 +117,7 @@ def _read(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _terms_of(held: DataFrame) -> DataFrame:
-    """(row, same, e, t) for each entity and each distinct term of the texts of ``held`` (row, same, es, text)."""
+    """(row, same, e, t) for each entity, by hash, and each distinct term of the texts of ``held`` (row, same, es, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +125,9 @@ def _terms_of(held: DataFrame) -> DataFrame:
                 terms = pa.array(sorted({_term_id(x) for x in _WORD.findall(text)}), pa.int64())
                 for e in es:
                     n = len(terms)
-                    yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([same] * n, pa.int64()), pa.array([e] * n, pa.string()), terms], names=["row", "same", "e", "t"])
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([same] * n, pa.int64()), pa.array([e] * n, pa.int64()), terms], names=["row", "same", "e", "t"])
 
-    return held.select("row", "same", "es", "text").mapInArrow(run, "row long, same long, e string, t long")
+    return held.select("row", "same", "es", "text").mapInArrow(run, "row long, same long, e long, t long")
 
 
 def _term_frequencies(docs: DataFrame, text: str, only: np.ndarray | None) -> DataFrame:
@@ -173,26 +176,31 @@ def _term_frequencies(docs: DataFrame, text: str, only: np.ndarray | None) -> Da
     return rows.mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("df"))
 
 
+def _least_share(share: Column, texts: Column) -> Column:
+    """The lower end of the confidence interval of ``share``, of which ``texts`` observations are the successes."""
+    z, trials = CONFIDENCE, texts / share
+    middle = share + z * z / 2 / trials
+    return (middle - z * F.sqrt(share * (1 - share) / trials + z * z / 4 / trials / trials)) / (1 + z * z / trials)
+
+
 def disclosures(docs: DataFrame, read: DataFrame, text: str, share: float, certain: float, support: int) -> tuple[DataFrame, DataFrame] | None:
-    """Which terms disclose which entities, (e, t, gone), and the rows with such entities (row, same, es, text); None if there is none."""
+    """Which terms disclose which entities, (e, t, gone), and the rows with entities (row, same, es, text); None if there is none."""
     scratch = Scratch(docs.sparkSession)
     n = read.count()
-    each = read.where("text is not null").select("row", "same", F.explode("entities").alias("e"))
-    by_text = each.groupBy("e", "same").agg(F.count(F.lit(1)).alias("n"))
-    entities = by_text.groupBy("e").agg(F.sum("n").alias("df_e"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    entities = scratch.save(entities.select("e", "df_e"))
-    holders = each.join(entities, "e").groupBy("row").agg(F.collect_list("e").alias("es"))
-    holders = scratch.save(holders.join(read.select("row", "same", "text"), "row"))
+    each = read.where("text is not null").select("row", "same", F.explode("entities").alias("e")).withColumn("e", F.xxhash64("e"))
+    entities = scratch.save(each.groupBy("e").agg(F.count(F.lit(1)).alias("df_e")))
+    holders = read.where("text is not null").select("row", "same", F.transform("entities", lambda x: F.xxhash64(x)).alias("es"), "text")
     together = _terms_of(holders).groupBy("e", "t", "same").agg(F.count(F.lit(1)).alias("n"))
-    together = together.groupBy("e", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    together = scratch.save(together.select("e", "t", "n"))
+    together = scratch.save(together.groupBy("e", "t").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts")))
     candidates = scratch.save(together.select("t").distinct())
     size = candidates.count()
     if not size:
         return None
     only = np.sort(candidates.toArrow().column("t").to_numpy()) if size <= MOST_BROADCAST else None
     found = together.join(_term_frequencies(docs, text, only), "t").join(entities, "e")
-    reveals = F.log2(F.col("n") * F.lit(float(n)) / F.col("df_e") / F.col("df"))
+    of_term = F.least(F.col("n") / F.col("df"), F.lit(1.0))
+    sure = F.when(F.col("texts") >= support, of_term).otherwise(_least_share(of_term, F.col("texts")))
+    reveals = F.log2(sure * F.lit(float(n)) / F.col("df_e"))
     content = F.log2(F.lit(float(n)) / F.col("df_e"))
     found = found.where((content > 0) & (reveals >= share * content)).select("e", "t", (reveals >= certain * content).alias("gone"))
     return scratch.save(found), holders
@@ -200,7 +208,7 @@ def disclosures(docs: DataFrame, read: DataFrame, text: str, share: float, certa
 
 def _added(holders: DataFrame, found: DataFrame) -> DataFrame:
     """(row, added, sanitised): the spans of disclosing terms as 'term:start:end' with + for those to remove, and the text without them."""
-    flagged = _terms_of(holders).join(found, ["e", "t"]).groupBy("row", "t").agg(F.max("gone").alias("gone"))
+    flagged = _terms_of(holders).drop("same").join(found, ["e", "t"]).groupBy("row", "t").agg(F.max("gone").alias("gone"))
     flagged = flagged.groupBy("row").agg(F.collect_list("t").alias("ts"), F.collect_list("gone").alias("gones"))
     joined = flagged.join(holders.select("row", "text"), "row")
 
@@ -226,9 +234,10 @@ def sanitise(docs: DataFrame, text: str = "text", share: float = 0.8, certain: f
 
     base and spans list kind:start:end by kind and start (code points, end exclusive); spans has the terms too.
     starts, ends and gone are those of the terms: gone ones are removed, others generalised by ``sanitised_texts``.
-    text is the original where there is any span, else null. A term counts with an entity if both are in at least
-    ``support`` distinct texts; it is flagged if it reveals ``share`` of the entity's information, and removed from
-    ``certain`` on. Terms never overlap base spans. Null and empty texts have no spans; very long texts are read
+    text is the original where there is any span, else null. A term is flagged if it reveals ``share`` of an
+    entity's information, and removed from ``certain`` on. If both are in fewer than ``support`` distinct texts, the
+    lower end of the confidence interval has to reveal it: for one entity and term in one document and no other, in
+    corpora of 700 documents or more. Terms never overlap base spans. Null and empty texts have no spans; very long texts are read
     whole, every pattern in linear time; repeated rows fare alike; an empty table gives no rows; other columns are
     not read.
     """

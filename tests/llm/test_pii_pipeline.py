@@ -114,6 +114,18 @@ def test_terms_that_disclose(spark, monkeypatch, most):
     assert "Zorblax" not in texts[300] and "quuxville" not in texts[300] and "[EMAIL]" in texts[300] and texts[500] == "copied secretword [EMAIL] alone"
 
 
+def test_terms_of_entities_in_one_or_two_texts(spark):
+    """An entity needs no number of texts: words of its texts alone disclose it, words that others have too do not."""
+    rows = [(i, f"every text has this {prose(i, 10)}") for i in range(1000)]
+    rows += [(2000, "every text has this zorblax and one@x.org"), (2001, "this quuxville has 10.1.2.3"), (2002, "has 10.1.2.3 quuxville")]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    flagged = {k: {got[k].text[a:b] for a, b in zip(got[k].starts, got[k].ends, strict=True)} for k in (2000, 2001, 2002)}
+    assert flagged == {2000: {"zorblax", "and"}, 2001: {"quuxville"}, 2002: {"quuxville"}}
+    # One or two texts do not make it certain: such terms are generalised, not removed.
+    assert not any(any(r.gone) for r in got.values())
+    assert all(r.starts == [] for k, r in got.items() if k < 2000)
+
+
 def test_redaction():
     assert pii.redact("abc def ghi", "email:0:3", [(4, 7, False), (8, 11, True)]) == "[EMAIL] [TERM] "
     assert pii.redact("0123456789", "card:2:6,phone:4:8", []) == "01[CARD]89"
