@@ -6,11 +6,12 @@ more than one on average (the inverse of the similarity sought), and for each se
 their value there: similar sets keep meeting, others part. A node with few sets is a leaf, in which all pairs are
 compared. So is a node that hardly shrinks, as its sets are alike; it is compared in blocks, so that no task gets
 more than a bounded number of sets. Runs are repeated until the chance that a pair just similar enough meets in
-none of them, at the depth that leaves were found at, is below the target.
+none of them, at the depth that leaves were found at, is below the target. All runs sample the same coordinates, so
+that chance is an average over the number of them that such a pair has in common.
 
 Sets that are equal are one set from the start, with a number of copies. A pair that meets in several leaves is
-compared in the one with the smallest key only, which each side can tell from its list of leaves. One byte of each
-minhash value is enough for that: chance agreement of bytes only adds pairs to check. Pairs are never
+compared in the one with the smallest key only, which each side can tell from its list of leaves. One byte of the
+first minhash values is enough for that, and two of each to split nodes: chance agreement only adds pairs to check. Pairs are never
 rows: a task adds up links per set and links sets that belong together to the smallest one among them. Candidates
 from minhash values are checked on whole sets of 64-bit shingle hashes.
 """
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from math import ceil, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,10 @@ from tarn.llm.words import bounded_batches, chunks, distinct_words
 
 #: Words in a shingle, similarity from which texts are linked.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Minhash coordinates; how many must agree for a pair to be checked, 5.5 standard deviations below the mean.
-WIDTH = 64
-LEAST_EQUAL = int(WIDTH * SIMILARITY - 5.5 * (WIDTH * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
+#: Minhash coordinates, and how many of them are compared pair by pair.
+WIDTH, COMPARED = 128, 64
+#: How many compared ones must agree for a pair to be checked, 5.5 standard deviations below the mean.
+LEAST_EQUAL = int(COMPARED * SIMILARITY - 5.5 * (COMPARED * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Sets in a leaf or block; a node with more than this share of its parent's sets is not split further.
 LEAF, ALIKE, DEEPEST = 800, 0.7, 12
 #: Elements of a task's sets up to which their common ones are counted by matrix products.
@@ -88,7 +90,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def _embedded(docs: DataFrame, text: str) -> DataFrame:
-    """Per row: its key (row, doc_id, same, size), the number n of its shingles (-1: null text), their hash (a, b), minhash vector and its lowest bytes."""
+    """Per row: its key (row, doc_id, same, size), the number n of its shingles (-1: null text), their hash (a, b), minhash vector (two bytes a value) and the lowest bytes of its first values."""
     body = F.col(f"`{text}`")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(body).alias("same"), F.octet_length(body).alias("size"), body.alias("_text"))
 
@@ -102,8 +104,8 @@ def _embedded(docs: DataFrame, text: str) -> DataFrame:
                     a.append(int(own.sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(_mix(own + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                     vector = minhash(own)
-                    vectors.append(vector.tobytes())
-                    sketches.append(vector.astype(np.uint8).tobytes())
+                    vectors.append(vector.astype(np.uint16).tobytes())
+                    sketches.append(vector[:COMPARED].astype(np.uint8).tobytes())
                 out = [part.column(x) for x in ("row", "doc_id", "same", "size")]
                 out += [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vectors, pa.binary()), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "same", "size", "n", "a", "b", "vector", "sketch"])
@@ -112,10 +114,10 @@ def _embedded(docs: DataFrame, text: str) -> DataFrame:
     return rows.mapInArrow(run, f"row long, doc_id {kind}, same long, size int, n long, a long, b long, vector binary, sketch binary")
 
 
-def _vectors(column: pa.Array, kind: type = np.uint32) -> np.ndarray:
-    """The minhash vectors of a batch, or their lowest bytes, a row each."""
+def _vectors(column: pa.Array, kind: type = np.uint16, width: int = WIDTH) -> np.ndarray:
+    """The minhash vectors of a batch, or the lowest bytes of their first values, a row each."""
     joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, kind).reshape(-1, WIDTH)
+    return np.frombuffer(joined, kind).reshape(-1, width)
 
 
 def _children(nodes: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -129,15 +131,29 @@ def _children(nodes: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarr
         yield at, _mix(_mix(nodes[at] + (c + 1).astype(np.uint64)) + vectors[at, c].astype(np.uint64))
 
 
-def _meeting(depth: int) -> float:
-    """The chance that a pair of the similarity sought is in one leaf of a run at ``depth``."""
+def _meeting(depth: int, equal: float = SIMILARITY) -> float:
+    """The chance that a pair with a share ``equal`` of its coordinates in common is in one leaf of a run at ``depth``."""
     q = 1.0
     for _ in range(depth):
-        miss = 1 - SIMILARITY * q
+        miss = 1 - equal * q
         q = 1 - (0.75 * miss + 0.25 * miss * miss)
     return q
 
 
+def _missing(depth: int, runs: int) -> float:
+    """The chance that a pair of the similarity sought meets in no leaf, over all numbers of coordinates it may have in common."""
+    chances = (comb(WIDTH, k) * SIMILARITY**k * (1 - SIMILARITY) ** (WIDTH - k) for k in range(WIDTH + 1))
+    return sum(p * (1 - _meeting(depth, k / WIDTH)) ** runs for k, p in enumerate(chances))
+
+
+def _runs(depth: int) -> int:
+    """How many runs the target recall takes with leaves at ``depth``."""
+    runs = 1
+    while _missing(depth, runs) > 1 - RECALL:
+        runs += 1
+    return runs
+
+
 def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFrame], int]:
     """Leaves (node, rep, count) of some runs over ``sets`` (rep, vector), and the depth of the deepest."""
 
@@ -182,7 +198,7 @@ def _leaves(sets: DataFrame, scratch: Scratch) -> DataFrame:
         leaves, depth = _split(sets, range(made, need), scratch)
         found += leaves
         made, deepest = need, max(deepest, depth)
-        need = max(need, ceil(log(1 - RECALL) / log(1 - _meeting(deepest))))
+        need = max(need, _runs(deepest))
     return reduce(DataFrame.unionAll, found)
 
 
@@ -261,7 +277,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _members(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[int, int, _Group]]:
-    sizes, vectors = batch.column("n").to_numpy(), _vectors(batch.column("sketch"), np.uint8)
+    sizes, vectors = batch.column("n").to_numpy(), _vectors(batch.column("sketch"), np.uint8, COMPARED)
     side, node = batch.column("side").to_numpy(), batch.column("node").to_numpy()
     alone = batch.column("alone").to_numpy(zero_copy_only=False)
     lists = batch.column("leaves")

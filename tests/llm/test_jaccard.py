@@ -93,6 +93,33 @@ def test_recall_at_the_threshold():
     assert abs(hits / 300 - 0.8) < 0.01
 
 
+@pytest.mark.parametrize("depth", [2, 4, 6, 8, 12])
+def test_runs_make_up_for_coordinates_that_all_of_them_share(depth):
+    """Simulated pairs at the threshold: few equal coordinates are a disadvantage in every run."""
+    equal = np.random.default_rng(depth).binomial(jaccard.WIDTH, jaccard.SIMILARITY, 200_000) / jaccard.WIDTH
+    q = np.ones(len(equal))
+    for _ in range(depth):
+        miss = 1 - equal * q
+        q = 1 - (0.75 * miss + 0.25 * miss * miss)
+    assert ((1 - q) ** jaccard._runs(depth)).mean() <= 2 * (1 - jaccard.RECALL)
+
+
+def test_recall_of_planted_pairs(spark, monkeypatch):
+    """Pairs at the threshold meet in a leaf of the real runs, among sets that have nothing in common with them."""
+    from tarn.llm.scratch import Scratch
+
+    monkeypatch.setattr(jaccard, "LEAF", 3)
+    monkeypatch.setattr(jaccard, "ALIKE", 2.0)
+    monkeypatch.setattr(jaccard, "DEEPEST", 6)
+    pick, pairs = np.random.default_rng(8), 5_000
+    one = pick.integers(0, 6, (pairs, jaccard.WIDTH)).astype(np.uint16)
+    two = np.where(pick.random(one.shape) < jaccard.SIMILARITY, one, one + np.uint16(100))
+    rows = [(2 * i + j, bytearray(v.tobytes())) for i in range(pairs) for j, v in enumerate((one[i], two[i]))]
+    leaves = jaccard._leaves(spark.createDataFrame(rows, "rep long, vector binary"), Scratch(spark))
+    met = leaves.selectExpr("node", "rep div 2 AS pair").groupBy("node", "pair").count().where("count > 1").select("pair").distinct().count()
+    assert pairs - met <= 1
+
+
 def test_common_counts_by_either_way():
     pick = np.random.default_rng(1)
     sets = [np.unique(pick.integers(0, 60, pick.integers(1, 50)).astype(np.uint64)) for _ in range(20)]
