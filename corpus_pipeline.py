@@ -12,6 +12,9 @@ from tarn.llm import jaccard, lines, mixing, packing, quality
 from tarn.llm.entry import WORD_BPE
 from tarn.llm.scratch import Scratch
 
+#: A source has many sites' texts, so a line that is boilerplate is on a much smaller share of them than on a web host's pages.
+SOURCE_RATIO = 0.001
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base or a rule learned from ``labels`` rejects."""
@@ -19,8 +22,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that are on more than a tenth of a source's documents, and on five at least; every document stays."""
-    return lines.clean_documents(docs)
+    """Cuts lines that are on more than a thousandth of a source's distinct texts, and on five at least; every document stays."""
+    return lines.clean_documents(docs, ratio=SOURCE_RATIO)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

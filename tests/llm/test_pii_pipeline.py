@@ -179,6 +179,14 @@ def test_pipeline_stage_by_stage(spark):
     checked_pieces(five, [(r.doc_id, r.text) for r in four.collect()])
 
 
+def test_pipeline_cuts_lines_that_few_of_a_sources_texts_have(spark):
+    """A licence line on a fiftieth of a large source goes, a line on four texts stays."""
+    rows = [(i, f"own {i}" + "\nLicence line" * (i % 50 == 0) + "\nfour times" * (i < 4), "en", "a", 0) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in stages()["line_dedup"](spark, docs, SF).collect()}
+    assert got == {i: f"own {i}" + "\nfour times" * (i < 4) for i in range(1000)}
+
+
 def test_pipeline_runs(spark):
     import __spark_entry__ as contract
 
