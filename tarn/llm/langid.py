@@ -168,12 +168,12 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     """Learns from the rows of ``labelled`` whose text and language are not null.
 
     Document frequencies are those of all rows. Weights are fitted to about ``sample`` rows, drawn by a hash of the
-    text, as many of each language, or all of a language that has fewer; whole texts each. Without any row the
+    text, as many distinct texts of each language, or all of a language that has fewer; whole texts each. Without any row the
     model has no language.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang")).where("_text is not null and _lang is not null")
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count_distinct(F.xxhash64("_text")).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return Model([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0)

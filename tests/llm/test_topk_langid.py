@@ -122,6 +122,16 @@ def test_frequencies_count_texts(spark):
     assert n == 3 and (seen == expected).all()
 
 
+def test_a_much_copied_text_does_not_crowd_out_its_language(spark, monkeypatch):
+    """All distinct texts of a small language are drawn, however often one of them is copied."""
+    seen, fit = [], langid.fit_regression
+    monkeypatch.setattr(langid, "fit_regression", lambda train, *rest: seen.extend(y for *_, y in train) or fit(train, *rest))
+    rows = [(prose(i, 12), "aa") for i in range(60)] + [("copied text", "aa")] * 5000 + [(prose(1000 + i, 12), "bb") for i in range(60)]
+    langid.fit(spark.createDataFrame(rows, "text string, lang string"), sample=200)
+    # A fifth of the 61 and 60 texts is held back for the temperature.
+    assert len(seen) == 121 - 121 // 5 and seen.count(0) >= 61 - 121 // 5
+
+
 def test_scores_equal_a_plain_sum(spark):
     """A text's logits are the mean of its n-grams' weights."""
     pick = np.random.default_rng(3)
