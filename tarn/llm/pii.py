@@ -237,7 +237,8 @@ def sanitise(docs: DataFrame, text: str = "text", share: float = 0.8, certain: f
     text is the original where there is any span, else null. A term is flagged if it reveals ``share`` of an
     entity's information, and removed from ``certain`` on. If both are in fewer than ``support`` distinct texts, the
     lower end of the confidence interval has to reveal it: for one entity and term in one document and no other, in
-    corpora of 700 documents or more. Terms never overlap base spans. Null and empty texts have no spans; very long texts are read
+    corpora of 700 documents or more. Terms are words of three characters or more: shorter ones, among them short
+    surnames and many names in Chinese characters, are never flagged. Terms never overlap base spans. Null and empty texts have no spans; very long texts are read
     whole, every pattern in linear time; repeated rows fare alike; an empty table gives no rows; other columns are
     not read.
     """
