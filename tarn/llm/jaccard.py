@@ -11,9 +11,10 @@ that chance is an average over the number of them that such a pair has in common
 
 Sets that are equal are one set from the start, with a number of copies. A pair that meets in several leaves is
 compared in the one with the smallest key only, which each side can tell from its list of leaves. One byte of the
-first minhash values is enough for that, and two of each to split nodes: chance agreement only adds pairs to check. Pairs are never
-rows: a task adds up links per set and links sets that belong together to the smallest one among them. Candidates
-from minhash values are checked on whole sets of 64-bit shingle hashes.
+first minhash values is enough for that: chance agreement only adds pairs to check. Nodes are split by whole values of
+32 bits, so that sets without anything in common do not stay together, however many there are. Pairs are never rows:
+a task adds up links per set and links sets that belong together to the smallest one among them. Candidates from
+minhash values are checked on whole sets of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.components import components
 from tarn.llm.scratch import Scratch
-from tarn.llm.words import bounded_batches, chunks, distinct_words
+from tarn.llm.words import bounded_batches, chunks, distinct_words, tidy
 
 #: Words in a shingle, similarity from which texts are linked.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -40,6 +41,8 @@ WIDTH, COMPARED = 128, 64
 LEAST_EQUAL = int(COMPARED * SIMILARITY - 5.5 * (COMPARED * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
 #: Sets in a leaf or block; a node with more than this share of its parent's sets is not split further.
 LEAF, ALIKE, DEEPEST = 800, 0.7, 12
+#: Shingles in a block, about: what a task holds is bounded by this, not by a number of sets of any length.
+BLOCK_SHINGLES = 1 << 20
 #: Elements of a task's sets up to which their common ones are counted by matrix products.
 DENSE = 2_000_000
 #: The chance that a pair with exactly the similarity sought is found; runs of the first batch.
@@ -90,7 +93,7 @@ def minhash(shingles: np.ndarray) -> np.ndarray:
 
 
 def _embedded(docs: DataFrame, text: str) -> DataFrame:
-    """Per row: its key (row, doc_id, same, size), the number n of its shingles (-1: null text), their hash (a, b), minhash vector (two bytes a value) and the lowest bytes of its first values."""
+    """Per row: its key (row, doc_id, same, size), the number n of its shingles (-1: null text), their hash (a, b), minhash vector (four bytes a value) and the lowest bytes of its first values."""
     body = F.col(f"`{text}`")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64(body).alias("same"), F.octet_length(body).alias("size"), body.alias("_text"))
 
@@ -104,17 +107,17 @@ def _embedded(docs: DataFrame, text: str) -> DataFrame:
                     a.append(int(own.sum(dtype=np.uint64).view(np.int64)))
                     b.append(int(_mix(own + np.uint64(1)).sum(dtype=np.uint64).view(np.int64)))
                     vector = minhash(own)
-                    vectors.append(vector.astype(np.uint16).tobytes())
+                    vectors.append(vector.tobytes())
                     sketches.append(vector[:COMPARED].astype(np.uint8).tobytes())
                 out = [part.column(x) for x in ("row", "doc_id", "same", "size")]
                 out += [pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(vectors, pa.binary()), pa.array(sketches, pa.binary())]
                 yield pa.RecordBatch.from_arrays(out, names=["row", "doc_id", "same", "size", "n", "a", "b", "vector", "sketch"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, same long, size int, n long, a long, b long, vector binary, sketch binary")
+    return rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, same long, size int, n long, a long, b long, vector binary, sketch binary")
 
 
-def _vectors(column: pa.Array, kind: type = np.uint16, width: int = WIDTH) -> np.ndarray:
+def _vectors(column: pa.Array, kind: type = np.uint32, width: int = WIDTH) -> np.ndarray:
     """The minhash vectors of a batch, or the lowest bytes of their first values, a row each."""
     joined = b"".join(column.to_pylist())
     return np.frombuffer(joined, kind).reshape(-1, width)
@@ -155,7 +158,10 @@ def _runs(depth: int) -> int:
 
 
 def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFrame], int]:
-    """Leaves (node, rep, count) of some runs over ``sets`` (rep, vector), and the depth of the deepest."""
+    """Leaves (node, rep, count, total) of some runs over ``sets`` (rep, n, vector), and the depth of the deepest.
+
+    count is the number of a leaf's sets, total that of all their elements.
+    """
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,30 +169,31 @@ def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFra
             for run in runs:
                 start = _mix(np.full(len(vectors), run + 1, np.uint64))
                 for at, child in _children(start, vectors):
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(pa.array(at)), pa.array(np.full(len(at), 1 << 62))], names=["node", "rep", "was"])
+                    where = pa.array(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(where), batch.column("n").take(where), pa.array(np.full(len(at), 1 << 62))], names=["node", "rep", "n", "was"])
 
     def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_numpy().astype(np.int64).view(np.uint64)
             for at, child in _children(nodes, _vectors(batch.column("vector"))):
                 where = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(where), batch.column("count").take(where)], names=["node", "rep", "was"])
+                yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(where), batch.column("n").take(where), batch.column("count").take(where)], names=["node", "rep", "n", "was"])
 
-    schema = "node long, rep long, was long"
-    rows, leaves, depth = sets.select("rep", "vector").mapInArrow(roots, schema), [], 1
+    schema = "node long, rep long, n long, was long"
+    rows, leaves, depth = sets.select("rep", "n", "vector").mapInArrow(tidy(roots), schema), [], 1
     while True:
         # Cheap to make again from the sets, so kept by the executors for the time of one job; what goes on is written.
         rows = rows.persist()
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count")).where("count > 1").persist()
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total")).where("count > 1").persist()
         done = (F.col("count") <= LEAF) | (F.col("count") > ALIKE * F.col("was")) | F.lit(depth >= DEEPEST)
-        live = scratch.save(rows.join(counts, "node").select("node", "rep", "count", done.alias("done")))
+        live = scratch.save(rows.join(counts, "node").select("node", "rep", "n", "count", "total", done.alias("done")))
         counts.unpersist()
         rows.unpersist()
-        leaves.append(live.where("done").select("node", "rep", "count"))
+        leaves.append(live.where("done").select("node", "rep", "count", "total"))
         large = live.where("not done")
         if large.isEmpty():
             return leaves, depth
-        rows = large.join(sets.select("rep", "vector"), "rep").select("node", "rep", "count", "vector").mapInArrow(deeper, schema)
+        rows = large.join(sets.select("rep", "vector"), "rep").select("node", "rep", "n", "count", "vector").mapInArrow(tidy(deeper), schema)
         depth += 1
 
 
@@ -205,10 +212,10 @@ def _leaves(sets: DataFrame, scratch: Scratch) -> DataFrame:
 def _tasks(leaves: DataFrame, sets: DataFrame) -> DataFrame:
     """The rows that a task compares: (task, node, side, alone, rep, copies, n, sketch, leaves).
 
-    A leaf above the limit is dealt into blocks; each pair of blocks, and each block with itself, is a task.
+    A leaf above the limits is dealt into blocks; each pair of blocks, and each block with itself, is a task.
     """
     own = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    blocks = F.ceil(F.col("count") / LEAF).cast("int")
+    blocks = F.ceil(F.greatest(F.col("count") / LEAF, F.col("total") / BLOCK_SHINGLES)).cast("int")
     rows = leaves.select("*", blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other"))
@@ -253,9 +260,9 @@ class _Group:
         keep = times[number] > 1
         number = np.unique(number[keep], return_inverse=True)[1]
         met = np.zeros((m, m), np.float32)
-        for a in range(0, int(number.max(initial=-1)) + 1, 4096):
-            some = (number >= a) & (number < a + 4096)
-            table = np.zeros((m, 4096), np.float32)
+        for a in range(0, int(number.max(initial=-1)) + 1, 1024):
+            some = (number >= a) & (number < a + 1024)
+            table = np.zeros((m, 1024), np.float32)
             table[of[keep][some], number[some] - a] = 1
             met += table @ table.T
         return met > 0
@@ -310,9 +317,9 @@ def _common(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     order = np.argsort(number, kind="stable")
     of, number = of[order], number[order]
     total = np.zeros((len(sets), len(sets)), np.float32)
-    for a in range(0, int(number[-1]) + 1 if len(number) else 0, 8192):
-        some = slice(*np.searchsorted(number, (a, a + 8192)))
-        table = np.zeros((len(sets), 8192), np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+        some = slice(*np.searchsorted(number, (a, a + 2048)))
+        table = np.zeros((len(sets), 2048), np.float32)
         table[of[some], number[some] - a] = 1
         total += table @ table.T
     return total[left, right].astype(np.int64)
@@ -366,7 +373,7 @@ def _fetched(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
             for part in chunks(batch, "_text"):
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([x.tobytes() for x in shingle_sets(part.column("_text"))], pa.binary())], names=["rep", "shingles"])
 
-    return texts.mapInArrow(run, "rep long, shingles binary").dropDuplicates(["rep"])
+    return texts.mapInArrow(tidy(run), "rep long, shingles binary").dropDuplicates(["rep"])
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -393,11 +400,11 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     sets = scratch.save(sets.where("n > 0"))
     rows = _tasks(_leaves(sets, scratch), sets)
     order = rows.repartition("task").sortWithinPartitions("task")
-    near = scratch.save(order.mapInArrow(_sketched, order.schema))
+    near = scratch.save(order.mapInArrow(tidy(_sketched), order.schema))
     wanted = near.select("rep").distinct().join(sets.select("rep", "doc_id", "same", "size"), "rep")
     shingles = scratch.save(_fetched(docs, text, scratch.save(wanted)))
     checked = near.join(shingles, "rep").repartition("task").sortWithinPartitions("task")
-    linked = scratch.save(checked.mapInArrow(_verified, "rep long, links long, root long"))
+    linked = scratch.save(checked.mapInArrow(tidy(_verified), "rep long, links long, root long"))
     roots = components(linked.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     named = equal.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")

@@ -112,10 +112,10 @@ def test_recall_of_planted_pairs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "ALIKE", 2.0)
     monkeypatch.setattr(jaccard, "DEEPEST", 6)
     pick, pairs = np.random.default_rng(8), 5_000
-    one = pick.integers(0, 6, (pairs, jaccard.WIDTH)).astype(np.uint16)
-    two = np.where(pick.random(one.shape) < jaccard.SIMILARITY, one, one + np.uint16(100))
-    rows = [(2 * i + j, bytearray(v.tobytes())) for i in range(pairs) for j, v in enumerate((one[i], two[i]))]
-    leaves = jaccard._leaves(spark.createDataFrame(rows, "rep long, vector binary"), Scratch(spark))
+    one = pick.integers(0, 6, (pairs, jaccard.WIDTH)).astype(np.uint32)
+    two = np.where(pick.random(one.shape) < jaccard.SIMILARITY, one, one + np.uint32(100))
+    rows = [(2 * i + j, 10, bytearray(v.tobytes())) for i in range(pairs) for j, v in enumerate((one[i], two[i]))]
+    leaves = jaccard._leaves(spark.createDataFrame(rows, "rep long, n long, vector binary"), Scratch(spark))
     met = leaves.selectExpr("node", "rep div 2 AS pair").groupBy("node", "pair").count().where("count > 1").select("pair").distinct().count()
     assert pairs - met <= 1
 
