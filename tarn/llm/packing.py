@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -23,11 +24,12 @@ from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import Scratch, widened
-from tarn.llm.words import bounded_batches, chunks, distinct_words
+from tarn.llm.words import bounded_batches, chunks, coded_words, tidy
 
 #: Rows of one length that one task ranks, at most, and at least.
 MOST_RANKED, LEAST_RANKED = 250_000, 256
@@ -135,27 +137,32 @@ def _slots(packed: list) -> tuple[np.ndarray, ...]:
 
 
 class _Encoder:
-    """Ids of distinct words, as little-endian bytes of 32-bit numbers; remembers words that recur.
+    """Ids of distinct words; remembers stems that recur.
 
     Where the tokenizer takes letter runs and punctuation runs apart and marks the end of each, words of letters
     with punctuation behind them are taken apart here: their stems are encoded many at a time, separated by spaces,
-    and cut at the end marks.
+    and cut at the end marks. All other words, such as those that hold the string of a special token, are encoded
+    whole, each on its own.
     """
 
-    #: Stems in one string; recurring words to remember; ASCII punctuation that begins no contraction.
-    TOGETHER, MOST, MARKS = 1000, 400_000, "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Stems in one string; recurring stems to remember; ASCII punctuation that begins no contraction.
+    TOGETHER, MOST, MARKS = 1000, 200_000, "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        # Special tokens' strings in a text are ordinary text.
-        self.model.encode_special_tokens = True
         parts = json.loads(Path(path).read_text())
         pattern = json.dumps(parts.get("pre_tokenizer"))
         suffix = parts["model"].get("end_of_word_suffix")
+        special = [x["content"] for x in parts.get("added_tokens") or ()]
+        if any(re.search(r"[\x20\x09-\x0D]", x) for x in special):
+            raise ValueError("a special token holds white space, so a text's ids are not those of its words")
         self.splits = bool(suffix) and r"|[\\p{L}]+|" in pattern and r"|[^\\s\\p{L}\\p{N}]+" in pattern
+        # A special token of letters or of marks alone would be found within stems or tails.
+        self.splits = self.splits and not any(x.isalpha() or not x.strip(self.MARKS) for x in special)
+        self.lowers = "Lowercase" in json.dumps(parts.get("normalizer"))
         vocab = self.model.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if self.splits:
@@ -178,37 +185,52 @@ class _Encoder:
             out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    def __call__(self, words: list[str], counts: np.ndarray) -> list[bytes]:
-        """The ids of each word; ``counts``: how often it occurs in the batch."""
-        stems, tails, odd = [], [], []
-        for i, word in enumerate(words):
-            stem, tail = word, ""
-            if self.splits and not word.isalpha():
-                stem = word.rstrip(self.MARKS)
-                tail = word[len(stem) :]
-            # Normalising some letters yields marks, which are runs of their own.
-            if not self.splits or not (stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha())):
-                odd.append(i)
-                stem, tail = word, ""
-            elif stem.isascii():
-                stem = stem.lower()
-            stems.append(stem)
-            tails.append(tail)
-        known, own = self.known, {}
-        whole = {stems[i] for i in odd}
-        fresh = [x for x in dict.fromkeys(stems) if x not in known and x not in whole]
-        own.update(zip(fresh, self._stems(fresh), strict=True))
-        fresh = [x for x in [*whole, *dict.fromkeys(tails)] if x and x not in known]
-        own.update(zip(fresh, self._each(fresh), strict=True))
-        own[""] = b""
-        out = [(own.get(a) or known.get(a, b"")) + (own.get(b) or known.get(b, b"")) if b else own.get(a) or known.get(a, b"") for a, b in zip(stems, tails, strict=True)]
-        if len(known) + len(own) > self.MOST:
-            known.clear()
-        for i in np.nonzero(counts > 1)[0].tolist():
-            for x in (stems[i], tails[i]):
-                if x in own and len(x) < 64 and len(known) < self.MOST:
-                    known[x] = own[x]
-        return out
+    @staticmethod
+    def _plain(stem: str) -> bool:
+        """Whether a stem is letters alone, also when normalised: normalising some letters yields marks, which are runs of their own."""
+        return stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha())
+
+    def __call__(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all parts, where each part begins and one more, each word's first and second part); part 0 is empty.
+
+        ``counts``: how often each word occurs in the batch.
+        """
+        parts, first, second = [b""], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        whole = np.arange(len(words))
+        if self.splits and len(words):
+            stems = pc.utf8_rtrim(words, self.MARKS)
+            tails = _behind(words, stems).dictionary_encode()
+            if self.lowers:
+                stems = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(stems), stems)
+            stems = stems.dictionary_encode()
+            of, known, names = stems.indices.to_numpy(), self.known, stems.dictionary.to_pylist()
+            plain = np.array([x in known or self._plain(x) for x in names], bool)
+            fresh = [i for i in np.nonzero(plain)[0].tolist() if names[i] not in known]
+            own = dict(zip(fresh, self._stems([names[i] for i in fresh]), strict=True))
+            parts += [own[i] if i in own else known.get(x, b"") for i, x in enumerate(names)]
+            often = np.bincount(of, counts, len(names)) > 1
+            if len(known) + len(own) > self.MOST:
+                known.clear()
+            known.update((names[i], v) for i, v in own.items() if often[i] and len(names[i]) < 64)
+            split = plain[of]
+            first[split] = 1 + of[split]
+            second[split] = len(parts) + tails.indices.to_numpy()[split]
+            parts += [b"".join(self._each([x])) if x else b"" for x in tails.dictionary.to_pylist()]
+            whole = np.nonzero(~split)[0]
+        first[whole] = len(parts) + np.arange(len(whole))
+        parts += self._each(words.take(pa.array(whole)).to_pylist())
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum(sizes)]), first, second
+
+
+def _behind(words: pa.Array, stems: pa.Array) -> pa.Array:
+    """What follows each stem in its word."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + len(words) + 1].astype(np.int64)
+    sizes = pc.binary_length(words).to_numpy() - pc.binary_length(stems).to_numpy()
+    upto = np.cumsum(sizes)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    own = data[np.repeat(ends - upto, sizes) + np.arange(upto[-1])] if len(upto) else data[:0]
+    return pa.StringArray.from_buffers(len(words), pa.py_buffer(np.concatenate([[0], upto]).astype(np.int32)), pa.py_buffer(own.tobytes()))
 
 
 @lru_cache(maxsize=2)
@@ -219,8 +241,9 @@ def _encoder(path: str) -> _Encoder:
 def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", with_ids: bool = False) -> DataFrame:
     """The pieces of each document: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (array of int).
 
-    A document's ids are those of its text, then ``end_id``. The tokenizer must split at ASCII white space and drop
-    it, so that a text's ids are its words' ids in turn. Only a document longer than ``capacity`` is cut, into
+    A document's ids are those that the tokenizer gives its text (without adding special tokens; the string of one in
+    the text gives its id), then ``end_id``. The tokenizer must split at ASCII white space and drop it, so that a
+    text's ids are its words' ids in turn. Only a document longer than ``capacity`` is cut, into
     pieces of ``capacity`` and a last one. A null text counts as empty: one piece, the end id alone.
     """
     bounded_batches(docs.sparkSession)
@@ -230,16 +253,15 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
         encode = _encoder(tokenizer_path)
         for batch in batches:
             for part in chunks(batch, "_text"):
-                names, codes, offsets = distinct_words(part.column("_text"))
-                per_word = encode(names, np.bincount(codes, minlength=len(names)))
-                sizes = np.fromiter(map(len, per_word), np.int64, len(per_word)) // 4
-                flat = np.frombuffer(b"".join(per_word), "<u4")
-                starts = np.cumsum(sizes) - sizes
-                n_ids = sizes[codes]
+                names, codes, offsets = coded_words(part.column("_text"))
+                flat, starts, first, second = encode(names, np.bincount(codes, minlength=len(names)))
+                # Two parts a word, one after another.
+                parts = np.stack([first[codes], second[codes]], 1).ravel()
+                n_ids = np.diff(starts)[parts]
                 ends = np.cumsum(n_ids)
                 total = int(ends[-1]) if len(ends) else 0
-                ids = flat[np.repeat(starts[codes] - (ends - n_ids), n_ids) + np.arange(total)] if total else flat[:0]
-                bounds = np.concatenate([[0], ends])[offsets]
+                ids = flat[np.repeat(starts[parts] - (ends - n_ids), n_ids) + np.arange(total)] if total else flat[:0]
+                bounds = np.concatenate([[0], ends])[2 * offsets]
                 rows = []
                 for doc in range(part.num_rows):
                     own = np.append(ids[bounds[doc] : bounds[doc + 1]], np.uint32(end_id)).astype("<u4")
@@ -253,7 +275,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
                 yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     more = {"piece": "int", "start": "long", "length": "long", "ids_crc32": "long"} | ({"ids": "array<int>"} if with_ids else {})
-    return kept.mapInArrow(run, widened(kept.drop("_text").schema, **more))
+    return kept.mapInArrow(tidy(run), widened(kept.drop("_text").schema, **more))
 
 
 def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
@@ -303,7 +325,7 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             out += [pa.array(sequence[at] + into // copies[at]), pa.array(offset[at] + into % copies[at] * length)]
             yield pa.RecordBatch.from_arrays(out, names=[*columns, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(look_up, widened(table.schema, sequence_id="long", offset="long"))
+    return ranked.mapInArrow(tidy(look_up), widened(table.schema, sequence_id="long", offset="long"))
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:

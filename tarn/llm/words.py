@@ -72,7 +72,7 @@ def chunks(batch: pa.RecordBatch, text: str = "text", most: int = CHUNK_BYTES) -
         at = upto
 
 
-def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+def coded_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words, the word number at each place, and where each text's places begin (one more at the end).
 
     Nulls count as empty texts. The empty string can be among the distinct words, at no place.
@@ -85,13 +85,19 @@ def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     flat = flat.slice(offsets[0], offsets[-1] - offsets[0])
     offsets = offsets - offsets[0]
     coded = pc.dictionary_encode(flat)
-    names = coded.dictionary.to_pylist()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if "" in names:
-        keep = codes != names.index("")
+    nothing = pc.index(coded.dictionary, "").as_py()
+    if nothing >= 0:
+        keep = codes != nothing
         offsets = np.concatenate([[0], np.cumsum(keep)])[offsets]
         codes = codes[keep]
-    return names, codes, offsets
+    return coded.dictionary, codes, offsets
+
+
+def distinct_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """``coded_words`` with the words as a list."""
+    names, codes, offsets = coded_words(texts)
+    return names.to_pylist(), codes, offsets
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -131,11 +131,51 @@ def test_sequences_hold_the_ids(documents):
 
 
 def test_words_are_encoded_as_in_a_text():
+    import pyarrow as pa
+
     pick, encode = random.Random(3), packing._encoder(WORDS)
     letters = "क़가abÉéİßΣς'd12.,!#–日ǅ́s<|>"
     words = ["".join(pick.choice(letters) for _ in range(pick.randint(1, 7))) for _ in range(5000)]
+    words += ["<|endoftext|>", "a<|endoftext|>b,", "<|startoftext|><|endoftext|>.", "<|ENDOFTEXT|>", "<|endoftext|", "Word<|startoftext|>!!"]
     for _ in range(2):
-        assert encode(words, np.full(len(words), 2)) == encode._each(words)
+        flat, starts, first, second = encode(pa.array(words), np.full(len(words), 2))
+        cut = lambda k: flat[starts[k] : starts[k + 1]].tolist()
+        assert [cut(a) + cut(b) for a, b in zip(first, second, strict=True)] == [encode.model.encode(x, add_special_tokens=False).ids for x in words]
+
+
+def test_strings_of_special_tokens(spark):
+    """They give the special tokens' ids, alone, within words and beside white space, as in the whole text."""
+    texts = ["<|endoftext|>", "one <|startoftext|> two", "a<|endoftext|>b c", "<|startoftext|><|endoftext|>", "x\n<|endoftext|>\t y.", "Tail<|endoftext|>,", "<|endoftext| >"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    checked_pieces(packing.pack(df, WORDS), list(enumerate(texts)))
+
+
+def packed_plainly(lengths: list[int], capacity: int) -> int:
+    """The number of sequences by loops over single pieces: pairs of large ones, then best fit, longest first."""
+    large, gaps = sorted((x for x in lengths if 3 * x > capacity), reverse=True), []
+    while large:
+        a = large.pop(0)
+        fits = [i for i, b in enumerate(large) if a + b <= capacity]
+        gaps.append(capacity - a - (large.pop(fits[0]) if fits else 0))
+    for x in sorted((x for x in lengths if 3 * x <= capacity), reverse=True):
+        at = min((i for i, g in enumerate(gaps) if g >= x), key=lambda i: gaps[i], default=None)
+        if at is None:
+            gaps.append(capacity - x)
+        else:
+            gaps[at] -= x
+    return len(gaps)
+
+
+@settings(max_examples=300, deadline=None)
+@given(lengths)
+def test_as_many_sequences_as_by_single_pieces(counts):
+    one_by_one = packed_plainly([k for k, v in counts.items() for _ in range(v)], 30)
+    assert sum(many for _, many in pack_lengths(counts, 30)) == one_by_one
+
+
+def test_as_many_sequences_as_by_single_pieces_of_real_texts(documents):
+    rows = packing.pack(documents, WORDS).toPandas()
+    assert rows.sequence_id.nunique() == packed_plainly(rows.length.tolist(), 4096)
 
 
 def test_one_length_for_all_rows(spark):
