@@ -211,17 +211,14 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, most_rules:
     return rules
 
 
-def learned_rules(docs: DataFrame, labels: DataFrame, **parameters) -> tuple[list[Rule], DataFrame]:
-    """The rules for ``docs`` (doc_id, text) by ``labels`` (doc_id, quality: 0 is bad), and the statistics of all rows.
+def learned_rules(stats: DataFrame, labels: DataFrame, **parameters) -> list[Rule]:
+    """The rules by ``labels`` (doc_id, quality: 0 is bad) for rows with doc_id and statistics.
 
     Learns from all labelled rows that do not fail the base; null labels are none; of contradictory labels of one
     id the worse counts.
     """
-    flat = with_statistics(docs).select(F.col("_row")["doc_id"].alias("doc_id"), *_columns())
-    stats = Scratch(docs.sparkSession).save(flat)
     told = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((1 - F.min("quality")).cast("int").alias("bad"))
-    rows = stats.where(~base_failed()).join(told, "doc_id").withColumn("fold", F.xxhash64("doc_id"))
-    return learn(rows, **parameters), stats
+    return learn(stats.where(~base_failed()).join(told, "doc_id").withColumn("fold", F.xxhash64("doc_id")), **parameters)
 
 
 def _columns() -> list[str]:
@@ -234,12 +231,21 @@ def judged(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     Null and empty texts have no word and fail the base; very long texts are read whole; repeated rows fare alike;
     an empty table gives no rows; without labels only the base rejects. Other columns are not read.
     """
-    rules, stats = learned_rules(docs, labels, **parameters)
+    flat = with_statistics(docs).select(F.col("_row")["doc_id"].alias("doc_id"), *_columns())
+    stats = Scratch(docs.sparkSession).save(flat)
+    rules = learned_rules(stats, labels, **parameters)
     failed, rule = base_failed(), decision(rules)
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & rule.isNull()).alias("kept"), rule.alias("rule"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that neither the base nor a learned rule rejects, unchanged."""
-    rules, stats = learned_rules(docs, labels, **parameters)
-    return with_statistics(docs).where(~base_failed() & decision(rules).isNull()).select("_row.*")
+    """The rows of ``docs`` that neither the base nor a learned rule rejects, unchanged.
+
+    Null and empty texts have no word and go; very long texts are read whole; repeated rows fare alike; an empty
+    table gives no rows; without labels only the base rejects. All columns stay, whatever their names. Statistics
+    are made once: rows that pass the base are written with them, learned from and then read back.
+    """
+    flat = with_statistics(docs).where(~base_failed()).select("_row", *_columns())
+    rows = Scratch(docs.sparkSession).save(flat)
+    rules = learned_rules(rows.select(F.col("_row")["doc_id"].alias("doc_id"), *_columns()), labels, **parameters)
+    return rows.where(decision(rules).isNull()).select("_row.*")

@@ -65,6 +65,38 @@ def test_awkward_vectors(spark):
     assert found(spark, rows[:1]) == [] and found(spark, [(100, [1.0], 0)]) == [] and found(spark, [(1, [1.0], 0)]) == []
 
 
+def test_empty_and_clashing_tables(spark):
+    assert found(spark, []) == []
+    pick = np.random.default_rng(2)
+    rows = [(i, pick.normal(size=6).astype(np.float32).tolist(), 0) for i in range(250)]
+    df = spark.createDataFrame(rows, VECTORS).select("*", *[F.lit(7).alias(x) for x in ("query_id", "rank", "score", "query", "totals", "row", "ids")])
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0).collect())) == plain(rows)
+
+
+def test_less_work_than_brute_force(spark):
+    """Clustered vectors: entries that cannot reach the cutoff are not scored to the end; the result is the plain one."""
+    pick = np.random.default_rng(6)
+    centres = pick.normal(size=(40, 64))
+    rows = []
+    for i in range(4000):
+        v = centres[pick.integers(40)] + 0.3 * pick.normal(size=64)
+        rows.append((i, (v / np.linalg.norm(v)).astype(np.float32).tolist(), 0))
+    df, spent = spark.createDataFrame(rows, VECTORS).repartition(2), spark.sparkContext.accumulator(0)
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 100 == 0, spent=spent).collect()))
+    assert got == plain(rows)
+    # 4000 x 40 x 64 products are brute force, once.
+    assert 0 < spent.value < 0.75 * 4000 * 40 * 64
+
+
+def test_zero_rows_and_small_lists_are_out_by_the_uniform_threshold():
+    """Where no later list can hold an entry at the threshold, one that is in no list yet leaves play."""
+    queries = topk._Queries(np.array([1]), np.array([[10.0, 10.0, 10.0, 10.0]]), 4)
+    block = np.array([[1.0, 1.0, 1.0, 1.0], [9.0, 9.0, 9.0, 9.0], [0.0, 0.0, 0.0, 0.0]])
+    done: list[int] = []
+    live, totals = topk._in_play(queries, np.array([5, 6, 7]), block, np.array([300.0]), done.append)
+    assert live.ravel().tolist() == [False, True, False] and totals[1, 0] == 360 and sum(done) == 4
+
+
 def test_very_large_numbers(spark):
     """Products beyond a long are saturated, and then tie."""
     rows = [(0, [1e9, 1e8], 0), (1, [1e9, -1e8], 0), (2, [3.0, 1.0], 0), (3, [-1e9, 1e8], 0), (4, [2e6, -3e6], 0)]
