@@ -47,7 +47,7 @@ BLOCK_SHINGLES = 1 << 20
 DENSE = 2_000_000
 #: The chance that a pair with exactly the similarity sought is found; runs of the first batch.
 RECALL, FIRST_RUNS = 0.99999, 6
-#: Sets whose texts are fetched by a broadcast of their keys, at most.
+#: Sets whose texts or vectors are fetched by a broadcast of their keys, at most.
 MOST_BROADCAST = 1_000_000
 
 _ONE = np.random.default_rng(2)
@@ -193,7 +193,10 @@ def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFra
         large = live.where("not done")
         if large.isEmpty():
             return leaves, depth
-        rows = large.join(sets.select("rep", "vector"), "rep").select("node", "rep", "n", "count", "vector").mapInArrow(tidy(deeper), schema)
+        # Few sets go on: only their vectors are moved.
+        going = scratch.save(large.select("rep").distinct())
+        vectors = sets.select("rep", "vector").join(F.broadcast(going) if going.count() <= MOST_BROADCAST else going, "rep", "left_semi")
+        rows = large.join(vectors, "rep").select("node", "rep", "n", "count", "vector").mapInArrow(tidy(deeper), schema)
         depth += 1
 
 
