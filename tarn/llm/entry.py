@@ -80,6 +80,8 @@ def _line_dedup_sql() -> str:
     text = "html"
     for pattern, into in lines.HTML_STEPS:
         text = f"regexp_replace({text}, {_quoted(pattern)}, {_quoted(into)}, 'g')"
+    for name, into in lines.ENTITIES:
+        text = f"replace({text}, {_quoted(name)}, {_quoted(into)})"
     return _sql("oracle_lines.sql").replace("{text}", text).replace("{blank}", f"({_quoted(lines.BLANK)})")
 
 

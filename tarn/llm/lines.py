@@ -1,9 +1,10 @@
 """Removal of boilerplate lines by their frequency on a site, in Spark expressions alone.
 
-A line is boilerplate on a host if more than a given share of the host's pages contain it. Copies of a page count
-once in both numbers, so that a page copied many times is not taken for boilerplate. Counting moves hashes of
-lines, not lines. Few lines can be that frequent (at most the mean number of lines of a page over the share), so a
-host's boilerplate is one short list of hashes, which is joined to its pages and looked up line by line.
+Pages are grouped by host. The pages of a host that contain a line, divided by the host's pages, give the line's
+ratio; lines above a given ratio are boilerplate and are dropped from the host's pages. Counting moves hashes of
+lines, not lines. Few lines can be that frequent (at most the mean number of lines of a page over the ratio), so a
+host's boilerplate is one short list of hashes, which is joined to its pages; what a page shares with the list is
+found by hashing, and lines are looked up in that.
 """
 
 from __future__ import annotations
@@ -22,26 +23,22 @@ MOST_BROADCAST = 1_000_000
 BLOCK_TAGS = "p|div|li|ul|ol|br|h[1-6]|tr|td|th|table|nav|article|section|header|footer|title|head|body|html|main|aside|form|pre|blockquote|dl|dt|dd|hr|figure|option|select"
 #: Patterns of HTML and what they become, in this order; Java and RE2 read them alike.
 HTML_STEPS = (
-    (r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->", ""),
-    (rf"(?i)\s*</?(?:{BLOCK_TAGS})\b[^>]*>\s*", "\n"),
+    (r"(?s)<(?:[sS][cC][rR][iI][pP][tT]\b.*?</[sS][cC][rR][iI][pP][tT]>|[sS][tT][yY][lL][eE]\b.*?</[sS][tT][yY][lL][eE]>|!--.*?-->)", ""),
+    (rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>", "\n"),
     (r"<[^>]+>", ""),
-    (r"&nbsp;", " "),
-    (r"&lt;", "<"),
-    (r"&gt;", ">"),
-    (r"&quot;", '"'),
-    (r"&#39;", "'"),
-    (r"&amp;", "&"),
-    (r"[ \t]*\n\s*", "\n"),
-    (r"^\s+|\s+$", ""),
 )
+#: Entities and what they stand for, in this order.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)"
 
 
-def html_text(html: Column) -> Column:
-    """The visible text of a page, a line per block; no line is blank."""
+def html_lines(html: Column) -> Column:
+    """The visible lines of a page, one per block, without white space at their ends; none is blank."""
     for pattern, into in HTML_STEPS:
-        html = F.regexp_replace(html, pattern, into) if any(x in pattern for x in r"\[(") else F.replace(html, F.lit(pattern), F.lit(into))
-    return html
+        html = F.regexp_replace(html, pattern, into)
+    for name, into in ENTITIES:
+        html = F.replace(html, F.lit(name), F.lit(into))
+    return F.filter(F.transform(F.split(html, "\n"), _bare), lambda x: x != "")
 
 
 def host_of(url: Column) -> Column:
@@ -49,70 +46,89 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.lower(F.regexp_extract(url, HOST, 1)), F.lit(""))
 
 
-def _hash(line: Column) -> Column:
-    return F.xxhash64(F.btrim(line, F.lit(BLANK)))
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANK))
 
 
-def _has_word(line: Column) -> Column:
-    return F.length(F.btrim(line, F.lit(BLANK))) > 0
+def hashes(lines: Column) -> Column:
+    """The hash of each line without the white space at its ends; null for a line without a word."""
+    return F.transform(lines, lambda x: bound(_bare(x), lambda y: F.when(y != "", F.xxhash64(y))))
 
 
-def boilerplate(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """Per host of ``pages`` (_host, _text): _common, the hashes of its boilerplate lines. Null hosts and texts have none."""
-    rows = pages.where("_host is not null and _text is not null").select("_host", F.xxhash64("_text").alias("_page"), "_text")
-    totals = rows.select("_host", "_page").distinct().groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
-    lines = F.transform(F.filter(F.split("_text", "\n"), _has_word), _hash)
-    each = rows.select("_host", "_page", F.explode(F.array_distinct(lines)).alias("_line"))
-    counts = each.distinct().groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_pages)
-    counts = Scratch(pages.sparkSession).save(counts)
+def boilerplate(pages: DataFrame, ratio: float, least: int, copies: bool) -> DataFrame:
+    """Per host of ``pages`` (_host, _hashes, _page): _common, the hashes of its boilerplate lines. Null hosts and texts have none."""
+    rows = pages.where("_host is not null and _hashes is not null").select("_host", "_page", F.array_compact(F.array_distinct("_hashes")).alias("_hashes"))
+    if not copies:
+        rows = rows.groupBy("_host", "_page").agg(F.first("_hashes").alias("_hashes"))
+    totals = rows.groupBy("_host").agg(F.count(F.lit(1)).alias("_total"))
+    each = rows.select("_host", F.explode("_hashes").alias("_line"))
+    counts = each.groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    scratch = Scratch(pages.sparkSession)
+    counts = scratch.save(counts)
     common = counts.join(totals, "_host").where(F.col("_n") > F.lit(ratio) * F.col("_total"))
-    return common.groupBy("_host").agg(F.collect_list("_line").alias("_common"))
+    found = scratch.save(common.groupBy("_host").agg(F.collect_list("_line").alias("_common")))
+    scratch.drop(counts)
+    return found
 
 
-def without_boilerplate(pages: DataFrame, ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """``pages`` (_row, _host, _text) with text, n_lines and n_dropped: the text without its host's boilerplate lines.
+def without_boilerplate(pages: DataFrame, ratio: float, least: int, copies: bool) -> DataFrame:
+    """``pages`` (_row, _host, _lines, _hashes, _page) as _row, _host, text, n_lines and n_dropped, without their hosts' boilerplate.
 
-    A line is dropped if it is on at least ``min_pages`` pages of the host and on more than ``ratio`` of them. The
-    other lines stay as they are, in their order, with every repetition; so do lines without a word. n_lines counts
-    lines with a word, before dropping. A null host has no boilerplate; a null text stays null, with no lines; very
-    long texts are handled whole; repeated rows fare alike and count as one page; an empty table gives no rows.
-    Columns within _row may have any names.
+    _lines are a page's lines, _hashes ``hashes`` of them, _page a hash of its text. A line is dropped if it is on
+    more than ``ratio`` of the host's pages, and on ``least`` at least. Each row is a page; without ``copies``, rows
+    of a host with equal texts are one. The other lines stay as they are, in their order, with every repetition; so
+    do lines without a word. n_lines counts lines with a word, before dropping. A null host has no boilerplate; null
+    lines give a null text, with no lines; very long texts are handled whole; repeated rows fare alike; an empty
+    table gives no rows. Columns within _row may have any names.
     """
-    spark = pages.sparkSession
-    scratch = Scratch(spark)
-    common = scratch.save(boilerplate(pages, ratio, min_pages))
+    common = boilerplate(pages, ratio, least, copies)
     small = (common.agg(F.sum(F.size("_common"))).first()[0] or 0) + common.count() <= MOST_BROADCAST
     joined = pages.join(F.broadcast(common) if small else common, "_host", "left")
+    none = F.lit(0).cast("long")
 
-    def cut(lines: Column) -> Column:
-        stays = lambda x: ~_has_word(x) | ~F.array_contains("_common", _hash(x))
-        count = F.size(F.filter(lines, _has_word)).cast("long")
-        left = F.when(F.col("_common").isNull(), lines).otherwise(F.filter(lines, stays))
-        return bound(left, lambda kept: F.struct(F.array_join(kept, "\n").alias("text"), count.alias("n_lines"), (F.size(lines) - F.size(kept)).cast("long").alias("n_dropped")))
+    def cut(own: Column) -> Column:
+        """``own``: the page's boilerplate."""
+        gone = lambda x: F.coalesce(F.array_contains(own, x), F.lit(False))
+        kept = F.when(F.size(own) <= 0, F.col("_lines")).otherwise(F.filter("_lines", lambda x, i: ~gone(F.get("_hashes", i))))
+        dropped = F.when(F.size(own) <= 0, none).otherwise(F.size(F.filter("_hashes", gone)).cast("long"))
+        return F.struct(F.array_join(kept, "\n").alias("text"), dropped.alias("n_dropped"))
 
-    out = joined.select("_row", "_host", bound(F.split("_text", "\n"), cut).alias("_cut"), "_text")
-    none = F.lit(0).cast("long")
+    own = F.when(F.col("_common").isNull(), F.array().cast("array<long>")).otherwise(F.array_compact(F.array_intersect("_hashes", "_common")))
+    there = F.col("_lines").isNotNull()
+    out = joined.select("_row", "_host", bound(own, cut).alias("_cut"), there.alias("_there"), F.size(F.array_compact("_hashes")).cast("long").alias("_n"))
     return out.select(
         "_row",
         "_host",
-        F.when(F.col("_text").isNotNull(), F.col("_cut.text")).alias("text"),
-        F.when(F.col("_text").isNull(), none).otherwise(F.col("_cut.n_lines")).alias("n_lines"),
-        F.when(F.col("_text").isNull(), none).otherwise(F.col("_cut.n_dropped")).alias("n_dropped"),
+        F.when(F.col("_there"), F.col("_cut.text")).alias("text"),
+        F.when(F.col("_there"), F.col("_n")).otherwise(none).alias("n_lines"),
+        F.when(F.col("_there"), F.col("_cut.n_dropped")).otherwise(none).alias("n_dropped"),
     )
 
 
-def clean_pages(pages: DataFrame, ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """page_id, host, n_lines, n_dropped and text of web pages (page_id, url, html), without their sites' boilerplate."""
-    rows = pages.select(F.struct("page_id").alias("_row"), host_of(F.col("url")).alias("_host"), html_text(F.col("html")).alias("_text"))
+def clean_pages(pages: DataFrame, ratio: float = 0.1, least: int = 2) -> DataFrame:
+    """page_id, host, n_lines, n_dropped and text of web pages (page_id, url, html), without their sites' boilerplate.
+
+    Every row is a page of its URL's host. A line on ``ratio`` of them or fewer stays, as does one on fewer than
+    ``least``: a line on one page only is repeated nowhere, and without that a host with one page would lose all it
+    has (1 is no minimum). Null, empty and relative URLs have no host and no boilerplate; a null html gives a null
+    text; very long pages are read whole; repeated rows are pages each, and fare alike; an empty table gives no rows;
+    other columns are not read, so their names cannot clash.
+    """
+    rows = pages.select(F.struct("page_id").alias("_row"), host_of(F.col("url")).alias("_host"), html_lines(F.col("html")).alias("_lines"))
     # Read twice; tags are taken out once.
-    rows = Scratch(pages.sparkSession).save(rows)
-    out = without_boilerplate(rows, ratio, min_pages)
+    rows = Scratch(pages.sparkSession).save(rows.select("*", hashes(F.col("_lines")).alias("_hashes"), F.lit(0).alias("_page")))
+    out = without_boilerplate(rows, ratio, least, True)
     return out.select("_row.page_id", F.col("_host").alias("host"), "n_lines", "n_dropped", "text")
 
 
-def clean_documents(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, min_pages: int = 5) -> DataFrame:
-    """``docs`` with the boilerplate lines of their ``site`` cut from ``text``; n_chars, if there is one, follows. Other columns stay."""
-    rows = docs.select(F.struct("*").alias("_row")).select("_row", F.col("_row")[site].cast("string").alias("_host"), F.col("_row")[text].alias("_text"))
-    out = without_boilerplate(rows, ratio, min_pages)
+def clean_documents(docs: DataFrame, site: str = "source", text: str = "text", ratio: float = 0.1, least: int = 5) -> DataFrame:
+    """``docs`` with the boilerplate lines of their ``site`` cut from ``text``; n_chars, if there is one, follows. Other columns stay.
+
+    Documents with equal texts count as one, so that a text copied often is not taken for boilerplate; a line is on
+    ``least`` different ones at least. Null sites have no boilerplate; null texts stay null, empty ones empty; very
+    long texts are handled whole; repeated rows fare alike; an empty table gives no rows; columns may have any names.
+    """
+    rows = docs.select(F.struct("*").alias("_row")).select("_row", F.col("_row")[site].cast("string").alias("_host"), F.split(F.col("_row")[text], "\n").alias("_lines"), F.xxhash64(F.col("_row")[text]).alias("_page"))
+    out = without_boilerplate(rows.withColumn("_hashes", hashes(F.col("_lines"))), ratio, least, False)
     fresh = {text: F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return out.select(*[(fresh.get(x) if fresh.get(x) is not None else F.col("_row")[x]).alias(x) for x in docs.columns])

@@ -147,16 +147,17 @@ def test_line_dedup_equals_its_sql(spark):
     assert sql_rows(sql, "/root/testdata/sf0.01").n_dropped.sum() > 0
 
 
-def by_hand(rows, ratio=0.1, min_pages=5):
+def by_hand(rows, ratio=0.1, min_pages=5, copies=False):
     """(id, text, dropped) of (id, host, text)."""
     pages, seen = {}, {}
     blank = " \t\x0b\x0c\r"
-    for _, host, text in rows:
+    for i, (_, host, text) in enumerate(rows):
         if host is not None and text is not None:
-            pages.setdefault(host, set()).add(text)
+            page = i if copies else text
+            pages.setdefault(host, set()).add(page)
             for x in text.split("\n"):
                 if x.strip(blank):
-                    seen.setdefault((host, x.strip(blank)), set()).add(text)
+                    seen.setdefault((host, x.strip(blank)), set()).add(page)
     out = []
     for key, host, text in rows:
         if text is None:
@@ -167,8 +168,9 @@ def by_hand(rows, ratio=0.1, min_pages=5):
     return out
 
 
+@pytest.mark.parametrize("copies", [False, True])
 @pytest.mark.parametrize("most", [0, 1_000_000])
-def test_lines_of_a_hot_host(spark, monkeypatch, most):
+def test_lines_of_a_hot_host(spark, monkeypatch, most, copies):
     monkeypatch.setattr(lines, "MOST_BROADCAST", most)
     rows = []
     for i in range(300):
@@ -177,8 +179,20 @@ def test_lines_of_a_hot_host(spark, monkeypatch, most):
         rows.append((i, host, "\n".join(body) if i % 50 else None))
     rows += [(1000 + i, "hot", "copied\npage") for i in range(90)]
     df = spark.createDataFrame([(i, t, s) for i, s, t in rows], "doc_id long, text string, source string")
-    got = lines.without_boilerplate(df.select(F.struct("doc_id").alias("_row"), F.col("source").alias("_host"), F.col("text").alias("_text"))).collect()
-    assert sorted((r._row.doc_id, r.text, r.n_dropped) for r in got) == sorted(by_hand(rows))
+    parts = df.select(F.struct("doc_id").alias("_row"), F.col("source").alias("_host"), F.split("text", "\n").alias("_lines"), F.xxhash64("text").alias("_page"))
+    got = lines.without_boilerplate(parts.withColumn("_hashes", lines.hashes(F.col("_lines"))), 0.1, 5, copies).collect()
+    assert sorted((r._row.doc_id, r.text, r.n_dropped) for r in got) == sorted(by_hand(rows, copies=copies))
+
+
+def test_pages_of_small_hosts(spark):
+    """Pages over a host's pages: on a host with two, a line on both goes and a line on one stays; a lone page stays whole."""
+    rows = [(1, "http://two.org/a", "<p>menu<p>first"), (2, "http://two.org/b", "<p>menu<p>second"), (3, "http://one.org/", "<p>menu<p>own")]
+    rows += [(10 + i, f"http://many.org/{i}", f"<p>body {i}" + "<p>twice" * (i < 2) + "<p>thrice" * (i < 3)) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.n_lines, r.n_dropped, r.text) for r in lines.clean_pages(df).collect()}
+    assert got[1] == (2, 1, "first") and got[2] == (2, 1, "second") and got[3] == (2, 0, "menu\nown")
+    # Two of twenty are not more than a tenth, three are.
+    assert got[10] == (3, 1, "body 0\ntwice") and got[12] == (2, 1, "body 2")
 
 
 def test_awkward_lines(awkward, clashing, empty):
