@@ -55,7 +55,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.decided(table(spark, sf_dir, "documents"))
+    rows = mixing.decided(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=("doc_id",))
     return rows.select("_row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 

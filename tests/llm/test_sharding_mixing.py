@@ -87,8 +87,35 @@ def test_awkward_shards(awkward, clashing, empty):
     assert sharding.shard(empty, 3).count() == 0
 
 
-def test_mixing_equals_its_sql(spark):
-    assert_same(entry.op9_mixing, entry.oracle_sql()["op9_mixing"], spark, SF)
+@pytest.mark.parametrize("folder", [SF, "/root/testdata/sf0.01"])
+def test_mixing_equals_its_sql(spark, folder):
+    assert_same(entry.op9_mixing, entry.oracle_sql()["op9_mixing"], spark, folder)
+
+
+def test_weights_are_shares_of_good_documents(spark):
+    """Classes with labels weigh what their labels say, the others the average; without labels all weigh 1."""
+    rows = [(i, "###" * 20 + f" word{i}" if i % 2 else prose(i, 50), "a") for i in range(200)]
+    numbers = mixing._numbers(spark.createDataFrame(rows, "doc_id long, text string, source string"), 9, ("doc_id",))
+    labels = spark.createDataFrame([(i, 0 if i % 2 else 1) for i in range(100)] + [(0, 0), (None, 1), (2, None)], "doc_id long, quality int")
+    found, of = mixing.class_weights(numbers, labels), {r["_row"]["doc_id"]: r["_class"] for r in numbers.collect()}
+    average = 49 / 100
+    assert found[of[0]] == (49 + 10 * average) / 60 and found[of[1]] == (10 * average) / 60
+    assert np.allclose(sorted(set(found) - {found[of[0]], found[of[1]]}), average)
+    assert set(mixing.class_weights(numbers, None)) == set(mixing.class_weights(numbers, labels.limit(0))) == {1.0}
+
+
+def test_rows_without_ids_draw_by_their_texts(spark):
+    rows = [(None, prose(i, 20), "a") for i in range(400)]
+    got = mixing.decided(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=0.5).select("times").toPandas()
+    assert 0.4 < got.times.mean() < 0.6
+
+
+def test_many_sources_are_ranked_side_by_side(spark, monkeypatch):
+    rows = [(i, prose(i, 3 + i % 9), f"source {i % 97}" if i % 97 else None) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted(map(tuple, mixing.decided(df).selectExpr("_row.doc_id", "target", "times").collect()))
+    monkeypatch.setattr(mixing, "RANKED", 7)
+    assert sorted(map(tuple, mixing.decided(df).selectExpr("_row.doc_id", "target", "times").collect())) == one
 
 
 def expected_targets(sizes: dict) -> dict:
@@ -127,10 +154,11 @@ def test_targets_and_taken_words(spark):
 def test_better_documents_come_first(spark):
     rows = [(i, prose(i, 30) if i % 2 else prose(i, 30).replace(" ", " ### "), "a" if i < 1500 else "b") for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.decided(df, weights=(1, 1), share=0.5).selectExpr("_row.doc_id", "_row.source", "times").toPandas()
+    labels = df.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality").where("doc_id < 600")
+    got = mixing.decided(df, labels, weights=(1, 1), share=0.5).selectExpr("_row.doc_id", "_row.source", "times").toPandas()
     got = got[got.source == "a"]
     good, poor = (got[got.doc_id % 2 == k].times.mean() for k in (1, 0))
-    assert good > poor
+    assert good > 2 * poor
 
 
 def test_many_sources_are_joined_by_a_shuffle(spark, documents, monkeypatch):
