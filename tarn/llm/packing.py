@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from tarn.llm.scratch import Scratch, widened
 from tarn.llm.words import bounded_batches, chunks, coded_words, tidy
 
+#: Bytes of text that are encoded at a time: what a worker holds beside its tokenizer goes with it.
+ENCODED_BYTES = 1 << 20
 #: Rows of one length that one task ranks, at most, and at least.
 MOST_RANKED, LEAST_RANKED = 250_000, 256
 
@@ -252,7 +254,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(tokenizer_path)
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", ENCODED_BYTES):
                 names, codes, offsets = coded_words(part.column("_text"))
                 flat, starts, first, second = encode(names, np.bincount(codes, minlength=len(names)))
                 # Two parts a word, one after another.

@@ -77,7 +77,8 @@ def statistics(text: Column) -> Column:
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """The row of ``docs`` as _row and its statistics and features; names within _row cannot clash with them."""
-    found = docs.select(F.struct("*").alias("_row")).select("_row", statistics(F.col("_row")[text]).alias("_s"))
+    # Behind a generator, so that the optimiser does not make them again for each use, above all in filters.
+    found = docs.select(F.struct("*").alias("_row")).select("_row", F.explode(F.array(statistics(F.col("_row")[text]))).alias("_s"))
     flat = found.select("_row", "_s.words.*", "_s.lines.*", "_s.n_symbols", "_s.n_marks", "_s.n_digits", "_s.n_upper")
     chars, words, lines = (F.greatest(F.col(x), F.lit(1)) for x in ("word_chars", "n_words", "n_lines"))
     return flat.select(
@@ -180,7 +181,9 @@ def learn(labelled: DataFrame, features: tuple[str, ...] = FEATURES, most_rules:
 
     Two thirds of the rows (by fold modulo 3) grow rules, the others prune them. A rule counts only if, on the rows
     kept apart and not yet covered, it holds ``min_bad`` bad rows and ``min_precision`` of what it holds is bad.
-    Without rows of both classes the list is empty. The driver sees counts by feature and bin alone.
+    Without rows of both classes the list is empty. The driver sees counts by feature and bin alone. ``most_rules``
+    and ``most_conditions`` keep the list short enough to be read; they bound the list, not the rows it learns from
+    or decides on.
     """
     scratch = Scratch(labelled.sparkSession)
     rows = scratch.save(labelled.select("bad", "fold", *features))

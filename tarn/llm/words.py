@@ -21,7 +21,7 @@ from tarn.llm.scratch import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of text that are turned into words at a time; a longer text is a batch of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 
 #: Bytes in one Arrow batch, about: batches of a fixed number of whole texts have no bound.
