@@ -16,7 +16,9 @@ def components(edges: DataFrame) -> DataFrame:
     node, so that a node with very many edges can be split over tasks.
     """
     scratch = Scratch(edges.sparkSession)
-    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = scratch.save(edges)
+    n = edges.count()
+    now = scratch.save(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), n)
     seen = None
     while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -30,7 +32,7 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m")).persist()
         joined = large.join(lower, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(lower.select("u", F.col("m").alias("v")))
-        after = scratch.save(small.distinct())
+        after = scratch.save(small.distinct(), n)
         for frame in (lower, large, least):
             frame.unpersist()
         scratch.drop(now)

@@ -180,13 +180,14 @@ def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), batch.column("rep").take(where), batch.column("n").take(where), batch.column("count").take(where)], names=["node", "rep", "n", "was"])
 
     schema = "node long, rep long, n long, was long"
+    size = len(runs) * sets.count()
     rows, leaves, depth = sets.select("rep", "n", "vector").mapInArrow(tidy(roots), schema), [], 1
     while True:
         # Cheap to make again from the sets, so kept by the executors for the time of one job; what goes on is written.
         rows = rows.persist()
         counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total")).where("count > 1").persist()
         done = (F.col("count") <= LEAF) | (F.col("count") > ALIKE * F.col("was")) | F.lit(depth >= DEEPEST)
-        live = scratch.save(rows.join(counts, "node").select("node", "rep", "n", "count", "total", done.alias("done")))
+        live = scratch.save(rows.join(counts, "node").select("node", "rep", "n", "count", "total", done.alias("done")), size)
         counts.unpersist()
         rows.unpersist()
         leaves.append(live.where("done").select("node", "rep", "count", "total"))
@@ -194,7 +195,7 @@ def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFra
         if large.isEmpty():
             return leaves, depth
         # Few sets go on: only their vectors are moved.
-        going = scratch.save(large.select("rep").distinct())
+        going = scratch.save(large.select("rep").distinct(), size)
         vectors = sets.select("rep", "vector").join(F.broadcast(going) if going.count() <= MOST_BROADCAST else going, "rep", "left_semi")
         rows = large.join(vectors, "rep").select("node", "rep", "n", "count", "vector").mapInArrow(tidy(deeper), schema)
         depth += 1
@@ -395,25 +396,26 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     bounded_batches(spark)
     scratch = Scratch(spark)
     base = scratch.save(_embedded(docs, text))
+    size = base.count()
     keys = ["a", "b", "n"]
     # Nulls sort first: an id that is missing must not name a class.
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
-    equal = scratch.save(base.where("n >= 0").groupBy(*keys).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), first))
+    equal = scratch.save(base.where("n >= 0").groupBy(*keys).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), first), size)
     sets = equal.select("rep", "copies").join(base.select(F.col("row").alias("rep"), "n", "vector", "sketch", "doc_id", "same", "size"), "rep")
-    sets = scratch.save(sets.where("n > 0"))
+    sets = scratch.save(sets.where("n > 0"), size)
     rows = _tasks(_leaves(sets, scratch), sets)
     order = rows.repartition("task").sortWithinPartitions("task")
-    near = scratch.save(order.mapInArrow(tidy(_sketched), order.schema))
+    near = scratch.save(order.mapInArrow(tidy(_sketched), order.schema), size)
     wanted = near.select("rep").distinct().join(sets.select("rep", "doc_id", "same", "size"), "rep")
-    shingles = scratch.save(_fetched(docs, text, scratch.save(wanted)))
+    shingles = scratch.save(_fetched(docs, text, scratch.save(wanted, size)), 8 * size)
     checked = near.join(shingles, "rep").repartition("task").sortWithinPartitions("task")
-    linked = scratch.save(checked.mapInArrow(tidy(_verified), "rep long, links long, root long"))
+    linked = scratch.save(checked.mapInArrow(tidy(_verified), "rep long, links long, root long"), size)
     roots = components(linked.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     named = equal.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")
-    named = scratch.save(named.select(*keys, "copies", "least", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    named = scratch.save(named.select(*keys, "copies", "least", F.coalesce("root", "rep").alias("root"), F.coalesce("links", F.lit(0)).alias("links")), size)
     heads = named.groupBy("root").agg(F.min("least").alias("head"))
-    named = scratch.save(named.join(heads, "root").select(*keys, "head", (F.col("copies") - 1 + F.col("links")).alias("n_links")))
+    named = scratch.save(named.join(heads, "root").select(*keys, "head", (F.col("copies") - 1 + F.col("links")).alias("n_links")), size)
     out = base.drop("vector", "sketch").join(named, keys, "left")
     return out.select(
         "row", "doc_id", "same", "size",

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,10 +44,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+#: Rows of a file, about, where the writer knows how many there will be.
+FILE_ROWS = 50_000
+#: On a local disk, no checksum files beside those written: each costs a process that sets its permissions.
+_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Scratch:
     """Writes intermediate results as Parquet in the shared folder, so that a lost executor costs no recomputation.
 
-    Tables stay until ``drop`` or the end of the process, because a lazy result may still read them.
+    Tables stay until ``drop``, the end of ``passing`` or that of the process, because a lazy result may still read
+    them.
     """
 
     def __init__(self, spark: SparkSession):
@@ -53,12 +62,17 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/tarn-{uuid.uuid4().hex}"
         self.paths: list[str] = []
 
-    def save(self, df: DataFrame) -> DataFrame:
-        """``df``, computed once: written and read back with its schema."""
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df``, computed once: written and read back with its schema.
+
+        ``rows``, about how many it has, bounds the number of files, from four for each core upwards.
+        """
         path = f"{self.base}/{len(self.paths)}"
         self.paths.append(path)
         _LIVE[path] = self.spark
-        df.write.parquet(path)
+        if rows is not None:
+            df = df.coalesce(max(4 * self.spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
+        (df.write.options(**_LOCAL) if path.startswith("file:") else df.write).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tarn_path = path  # noqa: SLF001
         return out
@@ -69,6 +83,15 @@ class Scratch:
             _delete(frame._tarn_path)  # noqa: SLF001
 
 
+@contextmanager
+def passing() -> Iterator[list[DataFrame]]:
+    """Deletes, at its end, the intermediate tables that were made in it, but for those put in the list it gives."""
+    before, kept = set(_LIVE), []
+    yield kept
+    for path in set(_LIVE) - before - {frame._tarn_path for frame in kept}:  # noqa: SLF001
+        _delete(path)
+
+
 def _delete(path: str) -> None:
     spark = _LIVE.pop(path, None)
     if spark is None:
