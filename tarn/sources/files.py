@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarn.errors import QueryError, SchemaError
+from tarn.sources.store import Store
 from tarn.types import WIDENS, type_name
 
 FORMATS = ("parquet", "csv", "json")
@@ -97,5 +98,35 @@ def write_partitioned(df: DataFrame, path: str, partitions: int, columns: list[s
     (options or WriterOptions()).of(shuffled(df, partitions, columns).write).parquet(path)
 
 
+def write_dealt(df: DataFrame, path: str, keys: tuple[str, ...], options: WriterOptions | None = None) -> None:
+    """Parquet files of ``df``, each with one value of every key.
+
+    Rows are dealt out by the keys beforehand, so that a value's rows are in few files; values with many rows are
+    split again. Times are written as micros since the epoch, whose bounds footers hold.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
+    before = conf.get(name)
+    marks = [f"_by{i}" for i in range(len(keys))]
+    if keys:
+        # Null and the empty string are values of their own.
+        tags = {m: F.when(F.col(f"`{k}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(f"`{k}`").cast("string"))) for m, k in zip(marks, keys, strict=True)}
+        df = df.withColumns(tags).hint("rebalance", *marks)
+    writer = (options or WriterOptions()).of(df.write)
+    conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        (writer.partitionBy(*marks) if keys else writer).parquet(path)
+    finally:
+        conf.set(name, before)
+
+
+def written(store: Store, folder: str) -> list[tuple[str, int]]:
+    """The data files that a writer left in a folder, in order, with their sizes."""
+    found = [(f"{folder}/{x}", size) for x, size in sorted(store.sizes(folder).items()) if x.startswith("part-")]
+    for name in store.names(folder):
+        if name.startswith("_by"):
+            found += written(store, f"{folder}/{name}")
+    return found
+
+
 def unique_name(prefix: str, extension: str) -> str:
     return f"{prefix}-{uuid.uuid4()}.{extension}"

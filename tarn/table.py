@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections import OrderedDict
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +19,7 @@ from tarn.sources import paths
 from tarn.sources.log import DataFile, Log, Snapshot
 from tarn.sources.stats import footers, may_hold
 from tarn.sources.store import open_store
-from tarn.types import as_schema, check_table_name, schema_json
+from tarn.types import PARTITION_TYPES, as_schema, check_table_name, schema_json, type_name
 
 #: Tries of an append whose base version was taken meanwhile.
 APPEND_TRIES = 10
@@ -29,8 +30,8 @@ SNAPSHOTS = 256
 class Table:
     """A handle on a table; it holds no state that a commit could outdate."""
 
-    def __init__(self, lake: Lake, name: str, log: Log):
-        self.lake, self.name, self.log, self.spark = lake, name, log, lake.spark
+    def __init__(self, lake: Lake, name: str, log: Log, partition_by: tuple[str, ...] = ()):
+        self.lake, self.name, self.log, self.spark, self.partition_by = lake, name, log, lake.spark, partition_by
         self.store, self.folder = lake.store, paths.table_dir(name)
 
     def latest_version(self) -> int:
@@ -66,7 +67,8 @@ class Table:
         """
         now = self.snapshot(version)
         wanted = as_comparisons(filters)
-        held = [x for x in now.files if all(may_hold(x, c, now.schema) for c in wanted)]
+        zone = self.spark.conf.get("spark.sql.session.timeZone")
+        held = [x for x in now.files if all(may_hold(x, c, now.schema, zone) for c in wanted)]
         return sources.scan(self.spark, [self._url(x.path) for x in held], now.schema)
 
     def files(self, version: int | None = None) -> DataFrame:
@@ -89,27 +91,33 @@ class Table:
         return self.log.commit(base, txn_id, adds, removes)
 
     def write_files(self, df: DataFrame, txn_id: str, options: sources.WriterOptions | None = None) -> list[DataFile]:
-        """Writes ``df`` as data files that no version holds yet: staged first, then moved one by one."""
+        """Writes ``df`` as data files that no version holds yet: staged first, then moved.
+
+        Each call has a staging folder of its own, so tries of one transaction do not get in each other's way. The
+        files of a partitioned table hold one value of each partition column.
+        """
         schema = self.schema
-        staging = f"{self.folder}/_tmp/{txn_id}/{uuid.uuid4().hex}"
+        staging = f"{self.folder}/_tmp/{txn_id}-{uuid.uuid4().hex}"
         try:
             try:
-                (options or sources.WriterOptions()).of(sources.fitted(df, schema).write).parquet(self.store.url(staging))
+                sources.write_dealt(sources.fitted(df, schema), self.store.url(staging), self.partition_by, options)
             except PySparkException as e:
                 if sources.NOT_NULL in str(e):
                     raise SchemaError(str(e).split("\n")[0]) from e
                 raise
-            names = [x for x in self.store.names(staging) if x.startswith("part-")]
-            found = []
-            for name, (rows, low, high) in zip(names, footers(self.spark, [self.store.url(f"{staging}/{x}") for x in names], schema), strict=True):
+            staged = sources.written(self.store, staging)
+            found, moves = [], []
+            for (name, size), (rows, low, high) in zip(staged, footers(self.spark, [self.store.url(x) for x, _ in staged], schema), strict=True):
                 if rows:
                     path = paths.data_file(len(found))
-                    size = self.store.size(f"{staging}/{name}")
-                    self.store.move(f"{staging}/{name}", f"{self.folder}/{path}")
-                    found.append(DataFile(path, rows, size, {}, low, high))
+                    moves.append((name, f"{self.folder}/{path}"))
+                    # One value, or none where the bounds show that all are null.
+                    found.append(DataFile(path, rows, size, {x: low.get(x) for x in self.partition_by}, low, high))
+            with ThreadPoolExecutor(16) as pool:
+                list(pool.map(lambda x: self.store.move(*x), moves))
             return found
         finally:
-            self.store.delete(f"{self.folder}/_tmp/{txn_id}")
+            self.store.delete(staging)
 
     def insert(self, data: DataFrame | str, txn_id: str | None = None, format: str = "parquet", options: sources.WriterOptions | None = None) -> int:
         """Appends a DataFrame, or a file or folder of a format, and returns the version.
@@ -169,11 +177,20 @@ class Lake:
         self.spark, self.root, self.store = spark, root, open_store(spark, root)
         self._snapshots: OrderedDict[tuple, Snapshot] = OrderedDict()
         self._created: dict[str, str] = {}
+        self._logs: dict[str, Log] = {}
 
-    def create_table(self, name: str, schema) -> Table:
-        """A new table at version 0; its schema is a StructType or a list of {"name", "type", "nullable"}."""
+    def create_table(self, name: str, schema, partition_by=()) -> Table:
+        """A new table at version 0; its schema is a StructType or a list of {"name", "type", "nullable"}.
+
+        Each data file of a table with ``partition_by`` holds one value of each of these columns, which it notes.
+        """
         check_table_name(name)
-        body = {"name": name, "id": uuid.uuid4().hex, "schema": schema_json(as_schema(schema))}
+        checked = as_schema(schema)
+        keys = (partition_by,) if isinstance(partition_by, str) else tuple(partition_by)
+        for key in keys:
+            if key not in checked.names or type_name(checked[key].dataType) not in PARTITION_TYPES:
+                raise SchemaError(f"{key!r} is no column of a type to partition by ({', '.join(sorted(PARTITION_TYPES))})")
+        body = {"name": name, "id": uuid.uuid4().hex, "schema": schema_json(checked), "partition_by": list(keys)}
         if not self.store.put_if_absent(f"{paths.table_dir(name)}/_table.json", json.dumps(body).encode()):
             raise TableExists(f"there is a table {name}")
         return self.table(name)
@@ -185,7 +202,11 @@ class Lake:
         except Exception as e:
             raise TableNotFound(f"there is no table {name}") from e
         self._created[name] = found["id"]
-        return Table(self, name, Log(self.store, f"{paths.table_dir(name)}/_log", as_schema(found["schema"])))
+        # Entries never change, so handles of one table share what has been read of its log.
+        log = self._logs.get(found["id"])
+        if log is None or log.store is not self.store:
+            log = self._logs[found["id"]] = Log(self.store, f"{paths.table_dir(name)}/_log", as_schema(found["schema"]))
+        return Table(self, name, log, tuple(found.get("partition_by", ())))
 
     def list_tables(self) -> list[str]:
         return [x for x in self.store.names("tables") if self.store.exists(f"tables/{x}/_table.json")]

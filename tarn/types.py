@@ -23,6 +23,8 @@ TYPES: dict[str, T.DataType] = {
 _NAMES = {v.simpleString(): k for k, v in TYPES.items()}
 #: Types that a column may be widened to without loss.
 WIDENS = {("int32", "int64"), ("int32", "float64"), ("float32", "float64")}
+#: Types of columns that a table may be partitioned by.
+PARTITION_TYPES = {"int32", "int64", "string", "boolean", "date"}
 NUMERIC = {"int32", "int64", "float32", "float64"}
 
 

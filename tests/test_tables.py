@@ -286,6 +286,127 @@ def test_statistics_skip_files(spark, lake):
     assert table.files().count() == len(files)
 
 
+TIMES = [{"name": "id", "type": "int64"}, {"name": "day", "type": "date"}, {"name": "at", "type": "timestamp"}, {"name": "local", "type": "timestamp_ntz"}]
+
+
+@pytest.fixture
+def timed(spark, lake):
+    """A hundred days in four files."""
+    table = lake.create_table("timed", TIMES)
+    rows = spark.range(100).selectExpr("id", "date_add(DATE'2024-01-01', cast(id AS int)) AS day", "timestampadd(DAY, id, TIMESTAMP'2024-01-01 12:00:00 UTC') AS at", "timestampadd(DAY, id, TIMESTAMP_NTZ'2024-01-01 12:00:00') AS local")
+    table.insert(rows.repartitionByRange(4, "id"))
+    assert table.snapshot().rows == 100 and len(table.snapshot().files) == 4
+    return table
+
+
+@pytest.mark.parametrize("text, n, files", [("day > '2024-04-05'", 4, 1), ("day = '2024-01-03'", 1, 1), ("at < '2024-01-03 12:00:00'", 2, 1), ("at >= '2024-01-03T12:00:00+02:00'", 98, 4), ("local <= '2024-01-02 12:00:00'", 2, 1), ("local > '2025-01-01 00:00:00'", 0, 0), ("day > '2024-4-5'", 4, 4)])
+def test_dates_and_times_skip_files(timed, text, n, files):
+    assert timed.query(filters=text).count() == n
+    assert len(timed.read(filters=text).inputFiles()) == files
+
+
+@pytest.mark.parametrize("where, n, files", [("day > DATE'2024-04-05'", 4, 1), ("at < TIMESTAMP'2024-01-03 12:00:00'", 2, 1), ("local <= TIMESTAMP_NTZ'2024-01-02 12:00:00' AND id >= 0", 2, 1), ("id = 99 OR id = 0", 2, 4), ("id > 1000", 0, 0), ("id + 0 > 90", 9, 1), ("id % 50 = 0", 2, 4)])
+def test_sql_skips_files(timed, where, n, files):
+    df = timed.lake.sql(f"SELECT * FROM timed WHERE {where}")
+    assert df.count() == n and len(df.inputFiles()) == files
+
+
+def test_sql_reads_what_any_of_its_scans_needs(timed):
+    sql = timed.lake.sql
+    assert sql("SELECT count(*) AS n FROM timed a JOIN timed b ON a.id = b.id + 90 WHERE a.id >= 90 AND b.id < 10").first()["n"] == 10
+    assert sql("SELECT count(*) AS n FROM timed WHERE id > (SELECT max(id) - 5 FROM timed WHERE id < 50)").first()["n"] == 55
+    assert sql("WITH x AS (SELECT * FROM timed WHERE id < 3) SELECT count(*) AS n FROM x, timed t WHERE t.id > 97").first()["n"] == 6
+
+
+def test_sql_keeps_the_settings_of_the_session(spark, timed):
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    spark.conf.set("spark.sql.caseSensitive", "true")
+    try:
+        df = timed.lake.sql("SELECT cast(at AS string) AS text FROM timed WHERE at < TIMESTAMP'2024-01-01 21:30:00'")
+        assert [r.text for r in df.collect()] == ["2024-01-01 21:00:00"]
+        assert df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        spark.conf.unset("spark.sql.caseSensitive")
+
+
+def test_partitioned_tables(spark, lake):
+    """Files of one value each, noted in the log; null, the empty string and odd characters are values."""
+    fields = [{"name": "id", "type": "int64"}, {"name": "key", "type": "string"}, {"name": "on", "type": "boolean"}]
+    table = lake.create_table("p", fields, partition_by=["key", "on"])
+    keys = [None, "", "a", "b/c=d e", "n"]
+    rows = [(i, keys[i % 5], i % 2 == 0 if i % 3 else None) for i in range(300)]
+    table.insert(spark.createDataFrame(rows, table.schema).repartition(3))
+    assert sorted(map(str, (tuple(r) for r in table.read().collect()))) == sorted(map(str, rows))
+    files = table.snapshot().files
+    assert {(x.partition["key"], x.partition["on"]) for x in files} == {(k, o) for _, k, o in rows}
+    held = table.read(filters=["key = 'b/c=d e'", "on = true"])
+    assert held.count() == sum(1 for _, k, o in rows if k == "b/c=d e" and o) and len(held.inputFiles()) < len(files) / 4
+    assert len(lake.sql("SELECT * FROM p WHERE key = ''").inputFiles()) < len(files) / 3
+    assert lake.table("p").partition_by == ("key", "on")
+    with pytest.raises(SchemaError):
+        lake.create_table("q", fields, partition_by="none")
+
+
+def test_a_new_handle_reads_few_entries(spark, tmp_path):
+    """Commits leave checkpoints with their transactions, so what an insert reads of the log does not grow with it."""
+    class Counting(LocalStore):
+        reads = 0
+
+        def read(self, path):
+            self.reads += 1
+            return super().read(path)
+
+    store = Counting(str(tmp_path))
+    for i in range(65):
+        Log(store, "_log", SCHEMA).commit(i, f"txn-{i}", [file(str(i))])
+    store.reads, fresh = 0, Log(store, "_log", SCHEMA)
+    assert fresh.version_of("txn-3") == 4 and fresh.version_of("never") is None and fresh.latest() == 65
+    assert fresh.commit(65, "more", [file("x")]) == (66, False) and fresh.commit(0, "txn-50") == (51, True)
+    assert store.reads <= 8
+    assert len(fresh.snapshot().files) == 66 and len(fresh.snapshot(30).files) == 30
+
+
+@pytest.mark.parametrize("kind", ["local", "hadoop"])
+def test_a_writer_that_dies_while_committing(spark, tmp_path, kind, monkeypatch):
+    """Neither an empty nor half an entry is seen, and the next writer gets the version."""
+    store = LocalStore(str(tmp_path)) if kind == "local" else HadoopStore(spark, f"file://{tmp_path}")
+    log = Log(store, "_log", SCHEMA)
+    log.commit(0, "one", [file("a")])
+    with monkeypatch.context() as m:
+        if kind == "local":
+            m.setattr("os.link", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        else:
+            m.setattr(store, "_claim", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            log.commit(1, "dead", [file("b")])
+    fresh = Log(store, "_log", SCHEMA)
+    assert fresh.versions() == [1] and fresh.version_of("dead") is None
+    assert fresh.commit(1, "two", [file("c")]) == (2, False)
+
+
+def test_a_retry_leaves_the_first_try_alone(spark, table):
+    """Two tries of one transaction stage apart, so the one that ends first takes nothing from the other."""
+    staged = spark.createDataFrame([(3,)], "id long").write
+    staged.parquet(table._url("_tmp/same-other/x"))
+    assert table.insert_rows([{"id": 1}], "same") == 1
+    assert table.store.names(f"{table.folder}/_tmp") == ["same-other"]
+
+
+def test_passing_errors_of_a_store_are_tried_again(tmp_path):
+    class Shaky(LocalStore):
+        left = 2
+
+        def put_if_absent(self, path, data):
+            self.left -= 1
+            if self.left >= 0:
+                raise OSError("not now")
+            return super().put_if_absent(path, data)
+
+    log = Log(Shaky(str(tmp_path)), "_log", SCHEMA)
+    assert log.commit(0, "one", [file("a")]) == (1, False) and log.versions() == [1]
+
+
 def test_bounds_with_nan_null_and_zero(spark, lake):
     table = lake.create_table("t", FIELDS)
     table.insert(spark.createDataFrame([(1, None, float("nan")), (2, None, -0.0)], table.schema).coalesce(1))
@@ -401,6 +522,8 @@ def test_stores(spark, tmp_path, kind):
     assert store.read("a/b.json") == b"one" and store.size("a/b.json") == 3 and store.names("none") == []
     store.move("a/b.json", "c/d.json")
     assert store.exists("c/d.json") and not store.exists("a/b.json") and "d.json" in store.names("c")
+    store.copy("c/d.json", "e/f.json")
+    assert store.read("e/f.json") == store.read("c/d.json") == b"one" and store.sizes("e") == {"f.json": 3} and store.sizes("none") == {}
     store.delete("c")
     assert not store.exists("c")
 
