@@ -10,7 +10,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.compaction import Compactor, Policy
 from tarn.errors import VersionConflict
 from tarn.operators.query import Query, run, shuffled
 from tarn.sources.files import WriterOptions, write_partitioned
@@ -53,12 +52,13 @@ def exact_avg(column: str) -> str:
     return f"CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE) / COUNT({column})"
 
 
-def loaded(spark: SparkSession, sf_dir: str, name: str, parts: int = 1, by: str | None = None) -> Table:
-    """One of the driver's tables in a lake of its own, inserted in ``parts`` by remainders of a column."""
+def loaded(spark: SparkSession, sf_dir: str, name: str, parts: int = 1, by: str | None = None, one_file: bool = False, lake: Lake | None = None) -> Table:
+    """One of the driver's tables in a lake of its own (or in ``lake``), inserted in ``parts`` by remainders of a column."""
     df = source(spark, sf_dir, name)
-    table = Lake(spark, fresh_root(spark)).create_table(name, df.schema)
+    table = (lake or Lake(spark, fresh_root(spark))).create_table(name, df.schema)
     for part in range(parts):
-        table.insert(df.where(F.col(by) % parts == part) if by else df, f"load-{part}")
+        rows = df.where(F.col(by) % parts == part) if by else df
+        table.insert(rows.coalesce(1) if one_file else rows, f"load-{part}")
     return table
 
 
@@ -136,11 +136,6 @@ def agg_count_star(spark, sf_dir):
     return asked(spark, sf_dir, "events", group_by="event_type", aggregates=[("count", "*")])
 
 
-@query("SELECT event_type, COUNT(value) AS count_value FROM events GROUP BY event_type")
-def agg_count_column(spark, sf_dir):
-    return asked(spark, sf_dir, "events", group_by="event_type", aggregates=[("count", "value")])
-
-
 @query("SELECT l_returnflag, CAST(SUM(l_linenumber) AS BIGINT) AS sum_l_linenumber FROM lineitem GROUP BY l_returnflag")
 def agg_sum(spark, sf_dir):
     return asked(spark, sf_dir, "lineitem", group_by="l_returnflag", aggregates=[("SUM", "l_linenumber")])
@@ -287,22 +282,6 @@ def orphan_invisible(spark, sf_dir):
     return table.read()
 
 
-@query(f"SELECT o_orderstatus, COUNT(*) AS n, {exact_sum('o_totalprice')} AS total FROM orders GROUP BY o_orderstatus")
-def compact_preserves(spark, sf_dir):
-    table = loaded(spark, sf_dir, "orders", 4, "o_orderkey")
-    Compactor(Policy()).compact(table)
-    return table.lake.sql(f"SELECT o_orderstatus, COUNT(*) AS n, {exact_sum('o_totalprice')} AS total FROM orders GROUP BY o_orderstatus")
-
-
-@query("SELECT * FROM orders WHERE o_orderkey >= 14000")
-def file_skipping(spark, sf_dir):
-    """A range filter over a table whose files hold ranges reads the files that it needs."""
-    df = source(spark, sf_dir, "orders")
-    table = Lake(spark, fresh_root(spark)).create_table("orders", df.schema)
-    table.insert(df.repartitionByRange(8, "o_orderkey"))
-    return table.query(filters="o_orderkey >= 14000")
-
-
 @query("SELECT * FROM (VALUES (1::BIGINT), (2), (3)) AS t(version)")
 def versions(spark, sf_dir):
     table = loaded(spark, sf_dir, "nation", 3, "n_nationkey")
@@ -315,12 +294,6 @@ def snapshot_files(spark, sf_dir):
     return loaded(spark, sf_dir, "customer").files().agg(F.sum("rows").alias("rows"))
 
 
-@query("SELECT 4::BIGINT AS version, COUNT(*) AS rows, true AS worthwhile FROM orders")
-def compaction_metrics(spark, sf_dir):
-    table = loaded(spark, sf_dir, "orders", 4, "o_orderkey")
-    return Compactor().metrics(table).select("version", "rows", "worthwhile")
-
-
 @query("SELECT c_custkey, c_name FROM customer")
 def insert_csv(spark, sf_dir):
     """A table filled from CSV files."""

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.errors import SchemaError, TableExists, TableNotFound, VersionConflict
+from tarn.jobs import Job, Jobs
+from tarn.metrics import Metrics
 from tarn.operators.predicate import as_comparisons
 from tarn.operators.query import Query, finish, run
 from tarn.sources import files as sources
@@ -88,7 +90,8 @@ class Table:
 
     def commit(self, base: int, txn_id: str, adds=(), removes=()) -> tuple[int, bool]:
         """One new version on ``base``, or VersionConflict; see ``Log.commit``."""
-        return self.log.commit(base, txn_id, adds, removes)
+        with self.lake.metrics.timed("commit", self.name):
+            return self.log.commit(base, txn_id, adds, removes)
 
     def write_files(self, df: DataFrame, txn_id: str, options: sources.WriterOptions | None = None) -> list[DataFile]:
         """Writes ``df`` as data files that no version holds yet: staged first, then moved.
@@ -125,7 +128,10 @@ class Table:
         A transaction id that has committed before gives its version again and writes nothing. An append that loses
         its version to another commit is committed again on the new one.
         """
-        txn_id = txn_id or uuid.uuid4().hex
+        with self.lake.metrics.timed("insert", self.name):
+            return self._insert(data, txn_id or uuid.uuid4().hex, format, options)
+
+    def _insert(self, data: DataFrame | str, txn_id: str, format: str, options: sources.WriterOptions | None) -> int:
         before = self.log.version_of(txn_id)
         if before is not None:
             return before
@@ -178,6 +184,8 @@ class Lake:
         self._snapshots: OrderedDict[tuple, Snapshot] = OrderedDict()
         self._created: dict[str, str] = {}
         self._logs: dict[str, Log] = {}
+        self.metrics = Metrics()
+        self.jobs = Jobs(spark, self.metrics)
 
     def create_table(self, name: str, schema, partition_by=()) -> Table:
         """A new table at version 0; its schema is a StructType or a list of {"name", "type", "nullable"}.
@@ -220,6 +228,10 @@ class Lake:
     def describe(self, name: str) -> dict:
         return self.table(name).describe()
 
+    def submit(self, text: str, versions: dict[str, int] | None = None) -> Job:
+        """Runs SQL beside the caller; see ``tarn.jobs``."""
+        return self.jobs.submit(lambda: self.sql(text, versions))
+
     def query(self, table: str, **arguments) -> DataFrame:
         return self.table(table).query(**arguments)
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tarn import queries
+from tarn import queries, table_queries  # noqa: F401  the latter registers its queries
 from tests.oracle import assert_same
 
 FOLDER = "/root/testdata/sf0.001"

@@ -552,3 +552,47 @@ def test_parquet_round_trip(spark, tmp_path_factory, rows, parts):
     table = Lake(spark, str(tmp_path_factory.mktemp("trip"))).create_table("t", FIELDS)
     table.insert(spark.createDataFrame(rows, SCHEMA).repartition(parts))
     assert sorted(map(tuple, table.read().collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_a_compaction_cycle(spark, lake, monkeypatch):
+    """Tables worth it are compacted, the others left; one that fails does not stop the rest."""
+    compacted_rows(lake, spark)
+    lake.create_table("small", [{"name": "id", "type": "int64"}]).insert_rows([{"id": 1}])
+    lake.create_table("empty", [{"name": "id", "type": "int64"}])
+    bad = compacted_rows_of(lake, "bad")
+    lake.store.delete(f"{bad.folder}/{bad.snapshot().files[0].path}")
+    got = {r.table: (r.version, r.error) for r in Compactor().cycle(lake).collect()}
+    assert got["c"][0] == 5 and got["small"] == got["empty"] == (None, None) and got["bad"][0] is None and got["bad"][1]
+    assert len(lake.table("c").snapshot().files) == 1 and lake.table("bad").latest_version() == 4
+    outcomes = {(r.operation, r.table): r.outcome for r in lake.metrics.frame(spark).collect()}
+    assert outcomes["compact", "c"] == "done" and ("insert", "small") in outcomes
+
+
+def compacted_rows_of(lake, name):
+    table = lake.create_table(name, [{"name": "id", "type": "int64"}])
+    for i in range(4):
+        table.insert_rows([{"id": i}])
+    return table
+
+
+def test_jobs(spark, lake):
+    """A query beside the caller: its rows, an error, cancelling, history."""
+    lake.create_table("t", [{"name": "id", "type": "int64"}]).insert_rows([{"id": i} for i in range(5)])
+    done = lake.submit("SELECT sum(id) AS s FROM t")
+    assert done.result().column("s").to_pylist() == [10] and done.status == "done" and done.rows == 1
+    bad = lake.submit("SELECT nothing FROM t")
+    assert bad.wait(60) and bad.status == "failed" and "nothing" in bad.error
+    with pytest.raises(QueryError):
+        bad.result()
+    long = lake.jobs.submit(lambda: spark.range(4).selectExpr("java_method('java.lang.Thread', 'sleep', 60000L) AS x", "id"))
+    import time
+
+    time.sleep(1)
+    assert lake.jobs.get(long.id).status == "running" and lake.jobs.cancel(long.id) and long.wait(30) and long.status == "cancelled"
+    assert not lake.jobs.cancel(done.id) and [x[1] for x in lake.jobs.history()] == ["done", "failed", "cancelled"]
+    many = lake.jobs.submit(lambda: spark.range(50), limit=10)
+    assert many.wait(60) and many.status == "failed" and "more than 10" in many.error
+    counted = {(r.operation, r.outcome): r.count for r in lake.metrics.frame(spark).select("operation", "outcome", "count").collect()}
+    assert ("query", "done") in counted and ("query", "cancelled") in counted
+    with pytest.raises(QueryError):
+        lake.jobs.get("none")
