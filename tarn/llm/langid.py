@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import widened
-from tarn.llm.words import bounded_batches, chunks, distinct_words, sums
+from tarn.llm.words import bounded_batches, chunks, distinct_words, sums, tidy
 
 #: Buckets that n-grams are hashed to, as a power of two, and the longest n-gram.
 BITS, LONGEST = 15, 4
@@ -111,7 +111,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(seen[used], n))], names=["bucket", "n"])
 
     out, n = np.zeros(1 << BITS, np.int64), 0
-    for r in texts.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(tidy(count), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         if r["bucket"] < 0:
             n = r["n"]
         else:
@@ -168,8 +168,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     """Learns from the rows of ``labelled`` whose text and language are not null.
 
     Document frequencies are those of all rows. Weights are fitted to about ``sample`` rows, drawn by a hash of the
-    text, as many distinct texts of each language, or all of a language that has fewer; whole texts each. Without any row the
-    model has no language.
+    text, as many distinct texts of each language, or all of a language that has fewer; whole texts each. The draw is
+    the same in every run. Without any row the model has no language.
     """
     bounded_batches(labelled.sparkSession)
     rows = labelled.select(F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").cast("string").alias("_lang")).where("_text is not null and _lang is not null")
@@ -182,7 +182,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
     share = F.element_at(F.create_map(*[F.lit(v) for k in langs for v in (k, min(1.0, each / counts[k]))]), F.col("_lang"))
     luck = F.pmod(F.xxhash64("_text"), F.lit(1 << 30))
     # Equal texts are drawn together: the limit holds if one text makes up a large part of a language.
-    drawn = rows.where(luck < share * (1 << 30)).select("_text", "_lang", luck.alias("_luck")).dropDuplicates(["_luck"]).limit(2 * sample)
+    drawn = rows.where(luck < share * (1 << 30)).select("_text", "_lang", luck.alias("_luck")).dropDuplicates(["_luck"]).orderBy("_luck").limit(2 * sample)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +192,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
                 lists = [pa.array([v[j].astype(np.int32) for v in got], pa.list_(pa.int32())) for j in (1, 2)]
                 yield pa.RecordBatch.from_arrays([part.column("_lang").take(of), part.column("_luck").take(of), *lists], names=["lang", "luck", "at", "n"])
 
-    got = drawn.mapInArrow(features, "lang string, luck long, at array<int>, n array<int>").toArrow()
+    got = drawn.mapInArrow(tidy(features), "lang string, luck long, at array<int>, n array<int>").toArrow()
     order = np.argsort(got.column("luck").to_numpy(), kind="stable")
     idf = np.log((1 + n) / (1 + seen)) + 1
     number = {x: i for i, x in enumerate(langs)}
@@ -248,8 +248,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[Column, ...], text: str =
                 pred = [model.langs[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 yield pa.RecordBatch.from_arrays([*[part.column(x) for x in columns], pa.array(pred, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 
-
-    return kept.mapInArrow(run, widened(kept.drop("_text").schema, lang_pred="string", score="double"))
+    return kept.mapInArrow(tidy(run), widened(kept.drop("_text").schema, lang_pred="string", score="double"))
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.scratch import widened
-from tarn.llm.words import WordCache, bounded_batches, chunks, distinct_words, sums
+from tarn.llm.words import WordCache, bounded_batches, chunks, distinct_words, sums, tidy
 
 #: Marks the start of a word in the vocabulary.
 START = "▁"
@@ -121,4 +121,4 @@ def token_counts(docs: DataFrame, vocab_path: str, text: str = "text", keep: tup
                     [*[part.column(x) for x in keep], pa.array(np.diff(offsets)), pa.array(n_tokens)], names=[*keep, "n_words", "n_tokens"]
                 )
 
-    return kept.mapInArrow(run, widened(kept.drop("_text").schema, n_words="long", n_tokens="long"))
+    return kept.mapInArrow(tidy(run), widened(kept.drop("_text").schema, n_words="long", n_tokens="long"))

@@ -257,10 +257,41 @@ def test_pipeline_cuts_lines_that_few_of_a_sources_texts_have(spark):
     assert got == {i: f"own {i}" + "\nfour times" * (i < 4) for i in range(1000)}
 
 
-def test_pipeline_runs(spark):
+def test_pipeline_runs_its_stages(spark):
+    """``run`` gives what the stages give one after another, and leaves none of their tables behind."""
     import __spark_entry__ as contract
 
-    assert contract.queries()["pipeline"](spark, SF).count() > 0
+    from tarn.llm import scratch
+
+    held = set(scratch._LIVE)
+    got = contract.queries()["pipeline"](spark, SF)
+    assert len(set(scratch._LIVE) - held) == len(got.inputFiles() and {got._tarn_path})
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in stages().values():
+        docs = stage(spark, docs, SF)
+    key = ("doc_id", "piece", "start", "length", "ids_crc32")
+    rows = lambda df: sorted(tuple(r[x] for x in key) for r in df.collect())
+    assert rows(got) == rows(docs) and got.select("sequence_id").distinct().count() == docs.select("sequence_id").distinct().count()
+
+
+def test_pipeline_stages_take_awkward_tables(spark, awkward, clashing, empty, tmp_path):
+    """In a row, over nulls, empty and very long texts, repeated rows, clashing names and nothing at all."""
+    folder = tmp_path / "tables"
+    spark.createDataFrame([(4, 1, 0), (8, 1, 0), (None, 0, 0), (9, None, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"file://{folder}/labels.parquet")
+    kept = {}
+    for name, docs in (("awkward", awkward), ("clashing", clashing), ("empty", empty)):
+        columns = docs.columns
+        for stage, f in stages().items():
+            docs = f(spark, docs, f"file://{folder}")
+            kept[name, stage] = docs.collect()
+            if stage != "best_fit_packing":
+                assert docs.columns == columns
+    for name in ("awkward", "clashing"):
+        # Nulls and short texts go first, then the copy (8, 9); a long word is a text of one word.
+        assert sorted(r.doc_id for r in kept[name, "quality_rules"]) == [4, 8, 9]
+        assert sorted(r.doc_id for r in kept[name, "ngram_jaccard_join"]) == [4, 8]
+        assert {r.doc_id for r in kept[name, "best_fit_packing"]} <= {4, 8}
+    assert not any(rows for (name, _), rows in kept.items() if name == "empty")
 
 
 def test_every_operator_has_a_query():

@@ -202,3 +202,63 @@ def test_awkward_languages(spark, awkward, clashing, empty):
     assert {r.lang_pred for r in nobody} == {"und"}
     alone = langid.identify(awkward.withColumn("lang", F.lit("q"))).where("lang_pred <> 'und'").collect()
     assert {r.lang_pred for r in alone} == {"q"} and all(r.score == 1 for r in alone)
+
+
+def ftrl_by_hand(rows, classes, order, alpha=0.3, beta=1.0, l1=0.02, l2=0.02, epochs=3):
+    """FTRL-proximal by loops over single coordinates; the last feature of a row is the bias."""
+    import math
+
+    z: dict = {}
+    n: dict = {}
+
+    def weight(key):
+        if abs(z.get(key, 0.0)) <= l1:
+            return 0.0
+        return -(z[key] - math.copysign(l1, z[key])) / ((beta + math.sqrt(n.get(key, 0.0))) / alpha + l2)
+
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            at, values, label = rows[i]
+            pairs = [*zip(at.tolist(), values.tolist(), strict=True), ("bias", 1.0)]
+            w = {(f, c): weight((f, c)) for f, _ in pairs for c in range(classes)}
+            logits = [sum(x * w[f, c] for f, x in pairs) for c in range(classes)]
+            top = max(logits)
+            total = sum(math.exp(v - top) for v in logits)
+            for f, x in pairs:
+                for c in range(classes):
+                    g = x * (math.exp(logits[c] - top) / total - (c == label))
+                    before = n.get((f, c), 0.0)
+                    n[f, c] = before + g * g
+                    z[f, c] = z.get((f, c), 0.0) + g - (math.sqrt(n[f, c]) - math.sqrt(before)) / alpha * w[f, c]
+    return {key: weight(key) for key in z}
+
+
+def test_regression_equals_one_by_hand():
+    pick, rows = np.random.default_rng(11), []
+    for i in range(60):
+        at = np.unique(pick.integers(0, 30, 6))
+        rows.append((at, pick.random(len(at)), i % 3))
+    got = langid.fit_regression(rows, 30, 3)
+    plain = ftrl_by_hand(rows, 3, np.random.default_rng(10))
+    for f in range(31):
+        for c in range(3):
+            assert np.isclose(got[f, c], plain.get((f if f < 30 else "bias", c), 0.0), atol=1e-12)
+
+
+def test_features_equal_those_by_hand(spark, monkeypatch):
+    """What the regression is fitted to: term frequencies by inverse document frequencies over all learned rows."""
+    from collections import Counter
+
+    rows = corpus(60)
+    seen, fit = [], langid.fit_regression
+    monkeypatch.setattr(langid, "fit_regression", lambda train, *rest: seen.extend(train) or fit(train, *rest))
+    langid.fit(spark.createDataFrame([(t, lang) for _, t, lang, *_ in rows], "text string, lang string"), sample=1000)
+    counts = [Counter(int(b) for w in t.split() for b in langid.word_grams([w])[0]) for _, t, *_ in rows]
+    df = Counter(b for c in counts for b in c)
+    idf = {b: np.log((1 + len(rows)) / (1 + v)) + 1 for b, v in df.items()}
+    plain = {tuple(sorted(c)): (lang, c) for c, (_, _, lang, *_) in zip(counts, rows, strict=True)}
+    assert len(seen) == len(rows) - len(rows) // 5
+    for at, values, label in seen:
+        lang, c = plain[tuple(at.tolist())]
+        assert sorted(SYLLABLES)[label] == lang
+        assert np.allclose(values, [langid.GAIN * c[b] / sum(c.values()) * idf[b] for b in at.tolist()])
