@@ -39,10 +39,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 WIDTH, COMPARED = 128, 64
 #: How many compared ones must agree for a pair to be checked, 5.5 standard deviations below the mean.
 LEAST_EQUAL = int(COMPARED * SIMILARITY - 5.5 * (COMPARED * SIMILARITY * (1 - SIMILARITY)) ** 0.5)
-#: Sets in a leaf or block; a node with more than this share of its parent's sets is not split further.
+#: Sets in a leaf; a node with more than this share of its parent's sets is not split further.
 LEAF, ALIKE, DEEPEST = 800, 0.7, 12
-#: Shingles in a block, about: what a task holds is bounded by this, not by a number of sets of any length.
-BLOCK_SHINGLES = 1 << 20
+#: Sets and shingles in a block, about: what a task holds is bounded by both, so not by a number of sets of any length.
+BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 #: Elements of a task's sets up to which their common ones are counted by matrix products.
 DENSE = 2_000_000
 #: The chance that a pair with exactly the similarity sought is found; runs of the first batch.
@@ -219,7 +219,7 @@ def _tasks(leaves: DataFrame, sets: DataFrame) -> DataFrame:
     A leaf above the limits is dealt into blocks; each pair of blocks, and each block with itself, is a task.
     """
     own = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
-    blocks = F.ceil(F.greatest(F.col("count") / LEAF, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
     rows = leaves.select("*", blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     task = F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other"))

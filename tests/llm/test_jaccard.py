@@ -71,6 +71,7 @@ def test_links_equal_those_of_all_pairs(spark, crowd):
 def test_large_leaves_are_split_and_compared_in_blocks(spark, crowd, monkeypatch):
     """A leaf of six sets at most: nodes are split further, or compared in blocks where splitting does not help."""
     monkeypatch.setattr(jaccard, "LEAF", 6)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
     df = spark.createDataFrame(crowd, "doc_id long, text string")
     assert got(df) == sorted(expected(crowd), key=str)
 
@@ -104,14 +105,22 @@ def test_runs_make_up_for_coordinates_that_all_of_them_share(depth):
     assert ((1 - q) ** jaccard._runs(depth)).mean() <= 2 * (1 - jaccard.RECALL)
 
 
-def test_recall_of_planted_pairs(spark, monkeypatch):
+def test_blocks_by_shingles(spark, crowd, monkeypatch):
+    """Long texts make blocks of few sets."""
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 300)
+    df = spark.createDataFrame(crowd, "doc_id long, text string")
+    assert got(df) == sorted(expected(crowd), key=str)
+
+
+@pytest.mark.parametrize("depth, pairs", [(6, 5_000), (8, 1_500)])
+def test_recall_of_planted_pairs(spark, monkeypatch, depth, pairs):
     """Pairs at the threshold meet in a leaf of the real runs, among sets that have nothing in common with them."""
     from tarn.llm.scratch import Scratch
 
     monkeypatch.setattr(jaccard, "LEAF", 3)
     monkeypatch.setattr(jaccard, "ALIKE", 2.0)
-    monkeypatch.setattr(jaccard, "DEEPEST", 6)
-    pick, pairs = np.random.default_rng(8), 5_000
+    monkeypatch.setattr(jaccard, "DEEPEST", depth)
+    pick = np.random.default_rng(8)
     one = pick.integers(0, 6, (pairs, jaccard.WIDTH)).astype(np.uint32)
     two = np.where(pick.random(one.shape) < jaccard.SIMILARITY, one, one + np.uint32(100))
     rows = [(2 * i + j, 10, bytearray(v.tobytes())) for i in range(pairs) for j, v in enumerate((one[i], two[i]))]
@@ -120,6 +129,27 @@ def test_recall_of_planted_pairs(spark, monkeypatch):
     assert pairs - met <= 1
 
 
+def test_recall_of_the_join_at_the_threshold(spark, monkeypatch):
+    """Pairs of texts with a similarity of 0.8 or little more, among texts that share a long passage: all links are found."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    monkeypatch.setattr(jaccard, "ALIKE", 2.0)
+    monkeypatch.setattr(jaccard, "DEEPEST", 9)
+    depths, runs = [], jaccard._runs
+    monkeypatch.setattr(jaccard, "_runs", lambda depth: depths.append(depth) or runs(depth))
+    passage, texts = prose(77, 120), []
+    for i in range(300):
+        # 116 shingles of the passage, 4 across and 40 own ones, of which 17 differ.
+        own = prose(1000 + i, 44)
+        words = own.split()
+        texts += [f"{passage} {own}", f"{passage} {' '.join([*words[:8], f'w{i}', *words[9:20], f'x{i}', *words[21:33], f'y{i}', *words[34:42], f'z{i}', 'end'])}"]
+    rows = list(enumerate(texts))
+    sets = [shingles(t) for t in texts]
+    close = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in range(0, 600, 2)]
+    assert 0.8 <= min(close) and max(close) < 0.81
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert max(depths) >= 8 and all(got[i] == (i - i % 2, 1) for i in range(600))
+
+
 def test_common_counts_by_either_way():
     pick = np.random.default_rng(1)
     sets = [np.unique(pick.integers(0, 60, pick.integers(1, 50)).astype(np.uint64)) for _ in range(20)]
