@@ -138,9 +138,12 @@ def _raised(lists: np.ndarray, more: np.ndarray) -> np.ndarray:
 
 
 def _gathered(held: _Queries, batches: Iterator[pa.RecordBatch], k: int, spent: Callable[[int], None]) -> np.ndarray:
-    """Phase 1 of a task: each query's highest totals (k rows, ascending) among the entries that head a group's list."""
+    """Phase 1 of a task: each query's highest totals (k rows, ascending) among the entries that head a group's list.
+
+    A list is as long as it takes for all lists to hold twice as many entries as are sought.
+    """
     n, width = held.whole.shape
-    lists = [np.full((k, n), -np.inf) for _ in held.cuts]
+    lists = [np.full((-(-2 * k // len(held.cuts)), n), -np.inf) for _ in held.cuts]
     best = np.full((k, n), -np.inf)
     for row_ids, block in _blocks(batches, width):
         if not held.small(block):
