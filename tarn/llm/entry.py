@@ -91,4 +91,4 @@ def _sql(name: str) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express a query; tests/llm hold the others against brute-force versions."""
-    return {"op2_ngram_jaccard_join": _sql("oracle_jaccard.sql"), "op6_line_dedup": _line_dedup_sql(), "op9_mixing": _sql("oracle_mix.sql")}
+    return {"op2_ngram_jaccard_join": _sql("oracle_jaccard.sql"), "op5_exact_top_k": _sql("oracle_topk.sql"), "op6_line_dedup": _line_dedup_sql(), "op9_mixing": _sql("oracle_mix.sql")}

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.conftest import awkward_rows, prose
+from tests.oracle import assert_same
 
-from tarn.llm import langid, topk
+from tarn.llm import entry, langid, topk
 
 VECTORS = "vec_id long, embedding array<float>, label int"
 
@@ -42,6 +43,11 @@ def test_real_vectors(spark, groups):
     assert found(spark, rows, groups=groups, every=25) == plain(rows, every=25)
 
 
+@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_top_k_equals_its_sql(spark, folder):
+    assert_same(entry.op5_exact_top_k, entry.oracle_sql()["op5_exact_top_k"], spark, folder)
+
+
 def test_ties_hot_vectors_and_negative_scores(spark):
     pick = np.random.default_rng(0)
     rows = [(i, [1.0, 0.5, 0.0] if i % 3 == 0 else pick.integers(-2, 3, 3).astype(float).tolist(), 0) for i in range(2500)]
