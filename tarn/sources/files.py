@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,25 +101,45 @@ def write_partitioned(df: DataFrame, path: str, partitions: int, columns: list[s
     (options or WriterOptions()).of(shuffled(df, partitions, columns).write).parquet(path)
 
 
+#: Writers at work by session, and the setting that the session had before.
+_MICROS: dict[int, tuple[int, str]] = {}
+_LOCK = threading.Lock()
+
+
+@contextmanager
+def _micros(spark: SparkSession) -> Iterator[None]:
+    """Times are written as micros since the epoch while any writer is at work; the session's own setting comes back after the last."""
+    name, key = "spark.sql.parquet.outputTimestampType", id(spark._jsparkSession)
+    with _LOCK:
+        n, before = _MICROS.get(key) or (0, spark.conf.get(name))
+        _MICROS[key] = (n + 1, before)
+        spark.conf.set(name, "TIMESTAMP_MICROS")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _MICROS[key]
+            if n == 1:
+                del _MICROS[key]
+                spark.conf.set(name, before)
+            else:
+                _MICROS[key] = (n - 1, before)
+
+
 def write_dealt(df: DataFrame, path: str, keys: tuple[str, ...], options: WriterOptions | None = None) -> None:
     """Parquet files of ``df``, each with one value of every key.
 
     Rows are dealt out by the keys beforehand, so that a value's rows are in few files; values with many rows are
     split again. Times are written as micros since the epoch, whose bounds footers hold.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.parquet.outputTimestampType"
-    before = conf.get(name)
     marks = [f"_by{i}" for i in range(len(keys))]
     if keys:
         # Null and the empty string are values of their own.
         tags = {m: F.when(F.col(f"`{k}`").isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.col(f"`{k}`").cast("string"))) for m, k in zip(marks, keys, strict=True)}
         df = df.withColumns(tags).hint("rebalance", *marks)
     writer = (options or WriterOptions()).of(df.write)
-    conf.set(name, "TIMESTAMP_MICROS")
-    try:
+    with _micros(df.sparkSession):
         (writer.partitionBy(*marks) if keys else writer).parquet(path)
-    finally:
-        conf.set(name, before)
 
 
 def written(store: Store, folder: str) -> list[tuple[str, int]]:

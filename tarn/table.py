@@ -83,9 +83,12 @@ class Table:
         now = self.snapshot(version)
         if now.files != self.log.snapshot(now.version).files:
             raise VersionConflict(f"version {now.version} replays differently")
+        folders: dict[str, dict[str, int]] = {}
         for x in now.files:
-            path = f"{self.folder}/{x.path}"
-            if not self.store.exists(path) or self.store.size(path) != x.size:
+            folder, _, name = x.path.rpartition("/")
+            if folder not in folders:
+                folders[folder] = self.store.sizes(f"{self.folder}/{folder}")
+            if folders[folder].get(name) != x.size:
                 raise TableNotFound(f"{x.path} of version {now.version} is missing or has another size")
 
     def commit(self, base: int, txn_id: str, adds=(), removes=()) -> tuple[int, bool]:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +45,17 @@ def ranged(spark: SparkSession, sf_dir: str, name: str, key: str, parts: int = 4
     df = source(spark, sf_dir, name)
     table, top = Lake(spark, fresh_root(spark)).create_table(name, df.schema), df.agg(F.max(key)).first()[0]
     cuts = [top * i // parts for i in range(parts)]
-    adds = []
-    for i, low in enumerate(cuts):
-        within = F.col(key) > low if i == parts - 1 else (F.col(key) > low) & (F.col(key) <= cuts[i + 1])
-        adds += table.write_files(df.where(within).coalesce(1), f"part-{i}")
-    table.commit(0, "load", adds)
+    table.commit(0, "load", side_by_side(table, [(F.col(key) > low) & (F.col(key) <= high) for low, high in zip(cuts, [*cuts[1:], top], strict=True)], df))
     return table, cuts[-1]
 
 
+def side_by_side(table: Table, conditions: list, df: DataFrame) -> list[DataFile]:
+    """A data file for each condition's rows, written at the same time."""
+    with ThreadPoolExecutor(4) as pool:
+        found = pool.map(lambda x: table.write_files(df.where(x[1]).coalesce(1), f"part-{x[0]}"), enumerate(conditions))
+        return [x for part in found for x in part]
+
+
 OPENED = "SELECT *, 1::BIGINT AS files_opened, 4::BIGINT AS files FROM orders WHERE o_orderkey > (SELECT max(o_orderkey) * 3 // 4 FROM orders)"
 
 
@@ -79,8 +83,7 @@ def time_skipping(spark, sf_dir):
     df = source(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     table = Lake(spark, fresh_root(spark)).create_table("orders", df.schema)
     early = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")
-    adds = [x for i, part in enumerate((early, ~early)) for x in table.write_files(df.where(part).coalesce(1), f"part-{i}")]
-    table.commit(0, "load", adds)
+    table.commit(0, "load", side_by_side(table, [early, ~early], df))
     return with_files(table.query(filters="o_orderdate < '1998-01-01 00:00:00'", projection=["o_orderkey"]), table)
 
 

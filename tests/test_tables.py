@@ -330,6 +330,18 @@ def test_sql_keeps_the_settings_of_the_session(spark, timed):
         spark.conf.unset("spark.sql.caseSensitive")
 
 
+def test_times_of_writers_side_by_side(spark, lake):
+    """All of them write times with bounds, and the session's own setting is back afterwards."""
+    name = "spark.sql.parquet.outputTimestampType"
+    before = spark.conf.get(name)
+    table = lake.create_table("many", [{"name": "at", "type": "timestamp"}])
+    rows = spark.range(20).selectExpr("timestampadd(DAY, id, TIMESTAMP'2024-01-01 12:00:00 UTC') AS at")
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: table.insert(rows, f"t{i}"), range(8)))
+    assert table.read().count() == 160 and all("at" in x.low for x in table.snapshot().files)
+    assert spark.conf.get(name) == before
+
+
 def test_partitioned_tables(spark, lake):
     """Files of one value each, noted in the log; null, the empty string and odd characters are values."""
     fields = [{"name": "id", "type": "int64"}, {"name": "key", "type": "string"}, {"name": "on", "type": "boolean"}]
