@@ -36,7 +36,8 @@ SECRET, TERM = "secret", "term"
 NEAR = 10
 #: Characters of a secret, at least and at most, and changes between letters and digits in it, at least.
 SECRET_CHARS, SECRET_CHANGES = (20, 512), 5
-#: Candidate terms up to which they are broadcast, 8 bytes each; with more of them all terms are counted and joined.
+#: Candidate terms, and entities, up to which they and their counts are broadcast, 8 bytes each; with more of them all
+#: terms are counted and joined.
 MOST_BROADCAST = 1_000_000
 #: Standard deviations to the lower end of a share's confidence interval (Wilson's, 95 %, one-sided).
 CONFIDENCE = 1.645
@@ -269,14 +270,17 @@ def disclosures(docs: DataFrame, read: DataFrame, text: str, share: float, certa
     if not size:
         return None
     only = np.sort(candidates.toArrow().column("t").to_numpy()) if size <= MOST_BROADCAST else None
-    found = together.join(_term_frequencies(docs, text, only), "t").join(_entities(held), "e")
+    # One row a term, one row an entity: broadcast, terms and entities that are in very many pairs need no task of their own.
+    frequencies, entities = scratch.save(_term_frequencies(docs, text, only)), scratch.save(_entities(held))
+    few = [F.broadcast(x) if x.count() <= MOST_BROADCAST else x for x in (frequencies, entities)]
+    found = together.join(few[0], "t").join(few[1], "e")
     of_term = F.least(F.col("n") / F.col("df"), F.lit(1.0))
     sure = F.when(F.col("texts") >= support, of_term).otherwise(_least_share(of_term, F.col("texts")))
     reveals = F.log2(sure * F.lit(float(n)) / F.col("df_e"))
     content = F.log2(F.lit(float(n)) / F.col("df_e"))
     found = found.where((content > 0) & (reveals >= share * content)).select("e", "t", (reveals >= certain * content).alias("gone"))
     found = scratch.save(found)
-    scratch.drop(together, candidates)
+    scratch.drop(together, candidates, frequencies, entities)
     return found, pairs
 
 
