@@ -15,6 +15,7 @@ sizes. A hub is cut only if it is larger than a shard, or than the room that any
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heapify, heapreplace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -136,23 +137,23 @@ def _place(large: list[tuple[int, int, int | None]], shards: int, target: float)
             room[label] -= size
         else:
             left.append((hub, size))
+    # The shard with most room first; of equal ones the first.
+    heap = [(-float(x), at) for at, x in enumerate(room)]
+    heapify(heap)
     for hub, size in left:
-        at = int(room.argmax())
-        if size <= room[at]:
+        most, at = heap[0]
+        if size <= -most:
             whole[hub] = at
-            room[at] -= size
+            heapreplace(heap, (most + size, at))
             continue
         cut[hub], rest = [], float(size)
-        for at in np.argsort(-room, kind="stable").tolist():
-            some = min(rest, max(room[at], 0.0))
-            if some > 0:
-                cut[hub].append((at, some / size))
-                room[at] -= some
-                rest -= some
-        if rest > 0:
-            # No room at all, by what hashes leave uneven.
-            cut[hub].append((int(room.argmax()), rest / size))
-            room[int(room.argmax())] -= rest
+        while rest > 0:
+            most, at = heap[0]
+            # Where there is not a byte of room, by what hashes leave uneven, the rest goes to one shard.
+            some = min(rest, -most) if most < -1 else rest
+            cut[hub].append((at, some / size))
+            heapreplace(heap, (most + some, at))
+            rest -= some
     return whole, cut
 
 
