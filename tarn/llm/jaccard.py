@@ -426,9 +426,12 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, unchanged; rows with null texts all stay.
+    """``docs`` with one row of each class, unchanged: that with the smallest doc_id.
 
-    Rows are told apart by doc_id and text; of rows alike in both one stays.
+    Rows are told apart by doc_id and text; of rows alike in both one stays, whichever its other columns are. Rows
+    with null texts are in no class and all stay; texts without words are one class; null ids come last; very long
+    texts are compared whole; an empty table gives no rows; all columns stay, whatever their names. Hashes of rows to
+    drop are broadcast up to ``MOST_BROADCAST``, joined beyond.
     """
     key = ["doc_id", "same", "size"]
     scratch = Scratch(docs.sparkSession)

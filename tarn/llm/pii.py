@@ -351,7 +351,11 @@ def redact(text: str, base: str, terms: list[tuple[int, int, bool]]) -> str:
 
 
 def sanitised_texts(found: DataFrame) -> DataFrame:
-    """doc_id and text of the rows of ``sanitise`` that have spans, without them; all other texts are as they were."""
+    """doc_id and text of the rows of ``sanitise`` that have spans, without them; all other texts are as they were.
+
+    Null and empty texts have no spans, so they are not among the rows; very long texts are rewritten whole; repeated
+    rows each give one; ids may be null; an empty table gives no rows.
+    """
     bounded_batches(found.sparkSession)
     listed = F.concat_ws(",", *[F.when(F.col(x) != "", F.col(x)) for x in ("base", "secrets")])
     rows = found.where("text is not null").select("doc_id", listed.alias("base"), "starts", "ends", "gone", "text")
