@@ -43,6 +43,8 @@ LEAST_EQUAL = int(COMPARED * SIMILARITY - 5.5 * (COMPARED * SIMILARITY * (1 - SI
 LEAF, ALIKE, DEEPEST = 800, 0.7, 12
 #: Sets and shingles in a block, about: what a task holds is bounded by both, so not by a number of sets of any length.
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
+#: Bytes of text that are turned into shingles at a time.
+HASHED_BYTES = 2 << 20
 #: Elements of a task's sets up to which their common ones are counted by matrix products.
 DENSE = 2_000_000
 #: The chance that a pair with exactly the similarity sought is found; runs of the first batch.
@@ -99,7 +101,7 @@ def _embedded(docs: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", HASHED_BYTES):
                 missing = np.asarray(part.column("_text").is_null())
                 n, a, b, vectors, sketches = [], [], [], [], []
                 for none, own in zip(missing, shingle_sets(part.column("_text")), strict=True):
@@ -374,7 +376,7 @@ def _fetched(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "_text"):
+            for part in chunks(batch, "_text", HASHED_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array([x.tobytes() for x in shingle_sets(part.column("_text"))], pa.binary())], names=["rep", "shingles"])
 
     return texts.mapInArrow(tidy(run), "rep long, shingles binary").dropDuplicates(["rep"])
