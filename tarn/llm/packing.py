@@ -17,8 +17,9 @@ import os
 import re
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import repeat
 from pathlib import Path
 from unicodedata import normalize
 
@@ -139,7 +140,7 @@ def _slots(packed: list) -> tuple[np.ndarray, ...]:
 
 
 class _Encoder:
-    """Ids of distinct words; remembers stems that recur.
+    """Ids of distinct words; remembers the stems and tails it has seen, up to a number of them.
 
     Where the tokenizer takes letter runs and punctuation runs apart and marks the end of each, words of letters
     with punctuation behind them are taken apart here: their stems are encoded many at a time, separated by spaces,
@@ -147,8 +148,8 @@ class _Encoder:
     whole, each on its own.
     """
 
-    #: Stems in one string; recurring stems to remember; ASCII punctuation that begins no contraction.
-    TOGETHER, MOST, MARKS = 1000, 200_000, "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    #: Stems in one string; stems and tails to remember, and characters of one; ASCII punctuation that begins no contraction.
+    TOGETHER, MOST, LONGEST, MARKS = 1000, 150_000, 64, "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -169,7 +170,25 @@ class _Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         if self.splits:
             self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Part 0 is empty; part k has the ids from ``starts[k]`` to ``starts[k + 1]``."""
+        self.index: dict[str, int] = {}
+        self.ids, self.starts = np.zeros(0, "<u4"), np.zeros(2, np.int64)
+
+    def _numbers(self, names: list[str], encode: Callable[[list[str]], list[bytes]], fits: Callable[[str], bool]) -> np.ndarray:
+        """The part of each name, encoded if it is new; -1 for those that do not fit."""
+        at = np.fromiter(map(self.index.get, names, repeat(-1)), np.int64, len(names))
+        fresh = [i for i in np.nonzero(at < 0)[0].tolist() if fits(names[i])]
+        if fresh:
+            own, n = [names[i] for i in fresh], len(self.starts) - 1
+            found, sizes = _joined(encode(own))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, found])
+            at[fresh] = np.arange(n, n + len(own))
+            self.index.update(zip(own, range(n, n + len(own)), strict=True))
+        return at
 
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
@@ -187,17 +206,15 @@ class _Encoder:
             out += [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
         return out
 
-    @staticmethod
-    def _plain(stem: str) -> bool:
+    def _plain(self, stem: str) -> bool:
         """Whether a stem is letters alone, also when normalised: normalising some letters yields marks, which are runs of their own."""
-        return stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha())
+        return len(stem) < self.LONGEST and stem.isalpha() and (stem.isascii() or normalize("NFC", stem).lower().isalpha())
 
-    def __call__(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all parts, where each part begins and one more, each word's first and second part); part 0 is empty.
-
-        ``counts``: how often each word occurs in the batch.
-        """
-        parts, first, second = [b""], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all parts, where each part begins and one more, each word's first and second part); part 0 is empty."""
+        if len(self.index) > self.MOST:
+            self._forget()
+        first, second = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         whole = np.arange(len(words))
         if self.splits and len(words):
             stems = pc.utf8_rtrim(words, self.MARKS)
@@ -205,24 +222,22 @@ class _Encoder:
             if self.lowers:
                 stems = pc.if_else(pc.string_is_ascii(stems), pc.ascii_lower(stems), stems)
             stems = stems.dictionary_encode()
-            of, known, names = stems.indices.to_numpy(), self.known, stems.dictionary.to_pylist()
-            plain = np.array([x in known or self._plain(x) for x in names], bool)
-            fresh = [i for i in np.nonzero(plain)[0].tolist() if names[i] not in known]
-            own = dict(zip(fresh, self._stems([names[i] for i in fresh]), strict=True))
-            parts += [own[i] if i in own else known.get(x, b"") for i, x in enumerate(names)]
-            often = np.bincount(of, counts, len(names)) > 1
-            if len(known) + len(own) > self.MOST:
-                known.clear()
-            known.update((names[i], v) for i, v in own.items() if often[i] and len(names[i]) < 64)
-            split = plain[of]
-            first[split] = 1 + of[split]
-            second[split] = len(parts) + tails.indices.to_numpy()[split]
-            parts += [b"".join(self._each([x])) if x else b"" for x in tails.dictionary.to_pylist()]
+            one = self._numbers(stems.dictionary.to_pylist(), self._stems, self._plain)[stems.indices.to_numpy()]
+            two = self._numbers(tails.dictionary.to_pylist(), self._each, lambda x: 0 < len(x) < self.LONGEST)
+            # No tail is part 0; a word with a long one is taken whole.
+            two[[x == "" for x in tails.dictionary.to_pylist()]] = 0
+            two = two[tails.indices.to_numpy()]
+            split = (one >= 0) & (two >= 0)
+            first[split], second[split] = one[split], two[split]
             whole = np.nonzero(~split)[0]
-        first[whole] = len(parts) + np.arange(len(whole))
-        parts += self._each(words.take(pa.array(whole)).to_pylist())
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        return np.frombuffer(b"".join(parts), "<u4"), np.concatenate([[0], np.cumsum(sizes)]), first, second
+        first[whole] = len(self.starts) - 1 + np.arange(len(whole))
+        more, sizes = _joined(self._each(words.take(pa.array(whole)).to_pylist()))
+        return np.concatenate([self.ids, more]), np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)]), first, second
+
+
+def _joined(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all parts, and how many each has."""
+    return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
 
 def _behind(words: pa.Array, stems: pa.Array) -> pa.Array:
@@ -256,7 +271,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id
         for batch in batches:
             for part in chunks(batch, "_text", ENCODED_BYTES):
                 names, codes, offsets = coded_words(part.column("_text"))
-                flat, starts, first, second = encode(names, np.bincount(codes, minlength=len(names)))
+                flat, starts, first, second = encode(names)
                 # Two parts a word, one after another.
                 parts = np.stack([first[codes], second[codes]], 1).ravel()
                 n_ids = np.diff(starts)[parts]

@@ -133,12 +133,13 @@ def test_sequences_hold_the_ids(documents):
 def test_words_are_encoded_as_in_a_text():
     import pyarrow as pa
 
-    pick, encode = random.Random(3), packing._encoder(WORDS)
+    pick, encode = random.Random(3), packing._Encoder(WORDS)
+    encode.MOST = 2000
     letters = "क़가abÉéİßΣς'd12.,!#–日ǅ́s<|>"
     words = ["".join(pick.choice(letters) for _ in range(pick.randint(1, 7))) for _ in range(5000)]
-    words += ["<|endoftext|>", "a<|endoftext|>b,", "<|startoftext|><|endoftext|>.", "<|ENDOFTEXT|>", "<|endoftext|", "Word<|startoftext|>!!"]
+    words += ["x" * 100 + ",", "long" + "!" * 100, "!" * 100, "<|endoftext|>", "a<|endoftext|>b,", "<|startoftext|><|endoftext|>.", "<|ENDOFTEXT|>", "<|endoftext|", "Word<|startoftext|>!!"]
     for _ in range(2):
-        flat, starts, first, second = encode(pa.array(words), np.full(len(words), 2))
+        flat, starts, first, second = encode(pa.array(words))
         cut = lambda k: flat[starts[k] : starts[k + 1]].tolist()
         assert [cut(a) + cut(b) for a, b in zip(first, second, strict=True)] == [encode.model.encode(x, add_special_tokens=False).ids for x in words]
 
