@@ -78,21 +78,32 @@ def _scans(df: DataFrame, folders: dict[str, str]) -> dict[str, list[list[Compar
         for name, folder in folders.items():
             if re.sub("^file:/+", "/", path).startswith(re.sub("^file:/+", "/", folder)):
                 translated = (strategy.translateFilter(x, True) for x in _items(leaf.dataFilters()))
-                found.setdefault(name, []).append([c for x in translated if x.isDefined() and (c := _comparison(x.get()))])
+                found.setdefault(name, []).append([c for x in translated if x.isDefined() for c in _comparisons(x.get())])
     return found
 
 
-def _comparison(x) -> Comparison | None:
-    """A filter of Spark's as a comparison, or None if bounds cannot answer it."""
-    op = _OPS.get(x.getClass().getSimpleName())
-    if op is None:
+def _comparisons(x) -> list[Comparison]:
+    """What a filter of Spark's asks of bounds: a comparison, for a list of values the range that holds them, or nothing."""
+    kind = x.getClass().getSimpleName()
+    if kind in _OPS:
+        value = _literal(x.value())
+        return [] if value is None else [Comparison(x.attribute(), _OPS[kind], value)]
+    if kind == "In":
+        values = [_literal(v) for v in x.values() if v is not None]
+        if not values or None in values or len({type(v) for v in values}) > 1:
+            return []
+        order = sorted(values, key=lambda v: v.encode() if isinstance(v, str) else v)
+        return [Comparison(x.attribute(), ">=", order[0]), Comparison(x.attribute(), "<=", order[-1])]
+    return []
+
+
+def _literal(value):
+    """A value that bounds compare with; dates and times as ISO text; None for others."""
+    if isinstance(value, str | bool | int | float):
+        return value
+    kind = value.getClass().getSimpleName() if hasattr(value, "getClass") else ""
+    if kind == "Timestamp":
+        value = value.toInstant()
+    elif kind not in ("LocalDate", "LocalDateTime", "Instant", "Date"):
         return None
-    value = x.value()
-    if not isinstance(value, str | bool | int | float):
-        kind = value.getClass().getSimpleName() if hasattr(value, "getClass") else ""
-        if kind == "Timestamp":
-            value = value.toInstant()
-        elif kind not in ("LocalDate", "LocalDateTime", "Instant", "Date"):
-            return None
-        value = value.toString()
-    return Comparison(x.attribute(), op, value)
+    return value.toString()

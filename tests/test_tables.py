@@ -305,7 +305,7 @@ def test_dates_and_times_skip_files(timed, text, n, files):
     assert len(timed.read(filters=text).inputFiles()) == files
 
 
-@pytest.mark.parametrize("where, n, files", [("day > DATE'2024-04-05'", 4, 1), ("at < TIMESTAMP'2024-01-03 12:00:00'", 2, 1), ("local <= TIMESTAMP_NTZ'2024-01-02 12:00:00' AND id >= 0", 2, 1), ("id = 99 OR id = 0", 2, 4), ("id > 1000", 0, 0), ("id + 0 > 90", 9, 1), ("id % 50 = 0", 2, 4)])
+@pytest.mark.parametrize("where, n, files", [("day > DATE'2024-04-05'", 4, 1), ("at < TIMESTAMP'2024-01-03 12:00:00'", 2, 1), ("local <= TIMESTAMP_NTZ'2024-01-02 12:00:00' AND id >= 0", 2, 1), ("id = 99 OR id = 0", 2, 4), ("id > 1000", 0, 0), ("id + 0 > 90", 9, 1), ("id % 50 = 0", 2, 4), ("id IN (97, 99, NULL)", 2, 1), ("day IN (DATE'2024-01-02', DATE'2024-01-05')", 2, 1), ("id NOT IN (1, 2)", 98, 4)])
 def test_sql_skips_files(timed, where, n, files):
     df = timed.lake.sql(f"SELECT * FROM timed WHERE {where}")
     assert df.count() == n and len(df.inputFiles()) == files
