@@ -5,9 +5,12 @@ probability that is their similarity. A run starts with all sets in one node. A
 more than one on average (the inverse of the similarity sought), and for each sends its sets to child nodes by
 their value there: similar sets keep meeting, others part. A node with few sets is a leaf, in which all pairs are
 compared. So is a node that hardly shrinks, as its sets are alike; it is compared in blocks, so that no task gets
-more than a bounded number of sets. Runs are repeated until the chance that a pair just similar enough meets in
-none of them, at the depth that leaves were found at, is below the target. All runs sample the same coordinates, so
-that chance is an average over the number of them that such a pair has in common.
+more than a bounded number of sets. Large nodes that runs make of one family of sets become one group, in which sets
+are described by how they differ from a pivot, the shingles that most of them have: those close enough to it are
+linked to one another for certain and are counted, not compared, and a set goes only to blocks in which it can have a
+link. Runs are repeated until the chance that a pair just similar enough meets in none of them, at the depth that
+leaves were found at, is below the target. All runs sample the same coordinates, so that chance is an average over the
+number of them that such a pair has in common.
 
 Sets that are equal are one set from the start, with a number of copies. A pair that meets in several leaves is
 compared in the one with the smallest key only, which each side can tell from its list of leaves. One byte of the
@@ -20,13 +23,14 @@ minhash values are checked on whole sets of 64-bit shingle hashes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import reduce
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.components import components
@@ -45,6 +49,11 @@ LEAF, ALIKE, DEEPEST = 800, 0.7, 12
 BLOCK, BLOCK_SHINGLES = 400, 1 << 20
 #: Bytes of text that are turned into shingles at a time.
 HASHED_BYTES = 2 << 20
+#: A node of more blocks than this becomes part of a group; rounds in which such nodes are merged.
+FEW_BLOCKS, ROUNDS = 2, 3
+#: Members that a group's pivot is made of, at most about (fewer if long: it steers work, not results); parts that its
+#: members are ordered into, at most.
+SAMPLE, PARTS = 100, 64
 #: Elements of a task's sets up to which their common ones are counted by matrix products.
 DENSE = 2_000_000
 #: The chance that a pair with exactly the similarity sought is found; runs of the first batch.
@@ -159,10 +168,15 @@ def _runs(depth: int) -> int:
     return runs
 
 
+def _name(turn: int) -> Column:
+    """The name of a node (an aggregate), the same for two of them with a probability that is the similarity of what they hold."""
+    return F.min(F.xxhash64("rep", F.lit(turn)))
+
+
 def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFrame], int]:
-    """Leaves (node, rep, count, total) of some runs over ``sets`` (rep, n, vector), and the depth of the deepest.
+    """Leaves (node, rep, count, total, name) of some runs over ``sets`` (rep, n, vector), and the depth of the deepest.
 
-    count is the number of a leaf's sets, total that of all their elements.
+    count is the number of a leaf's sets, total that of all their elements, name the least hash of a set.
     """
 
     def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,12 +201,12 @@ def _split(sets: DataFrame, runs: range, scratch: Scratch) -> tuple[list[DataFra
     while True:
         # Cheap to make again from the sets, so kept by the executors for the time of one job; what goes on is written.
         rows = rows.persist()
-        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total")).where("count > 1").persist()
+        counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("total"), _name(0).alias("name")).where("count > 1").persist()
         done = (F.col("count") <= LEAF) | (F.col("count") > ALIKE * F.col("was")) | F.lit(depth >= DEEPEST)
-        live = scratch.save(rows.join(counts, "node").select("node", "rep", "n", "count", "total", done.alias("done")), size)
+        live = scratch.save(rows.join(counts, "node").select("node", "rep", "n", "count", "total", "name", done.alias("done")), size)
         counts.unpersist()
         rows.unpersist()
-        leaves.append(live.where("done").select("node", "rep", "count", "total"))
+        leaves.append(live.where("done").select("node", "rep", "count", "total", "name"))
         large = live.where("not done")
         if large.isEmpty():
             return leaves, depth
@@ -215,31 +229,146 @@ def _leaves(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return reduce(DataFrame.unionAll, found)
 
 
-def _tasks(leaves: DataFrame, sets: DataFrame) -> DataFrame:
-    """The rows that a task compares: (task, node, side, alone, rep, copies, n, sketch, leaves).
+def _few(frame: DataFrame) -> DataFrame:
+    """A saved table to join with: broadcast if it is small."""
+    return F.broadcast(frame) if frame.count() <= MOST_BROADCAST else frame
+
+
+def _merged(large: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, rep): large leaves (name, rep), of which those that share most of their sets are one, with a negative key, the largest first.
+
+    Leaves with one name are one. What is one after a round is more alike in the next, which has other names.
+    """
+    large = scratch.save(large.select(F.col("name").alias("node"), "rep").distinct())
+    for turn in range(1, ROUNDS):
+        names = scratch.save(large.groupBy("node").agg(_name(turn).alias("name")))
+        large = scratch.save(large.join(_few(names), "node").select(F.col("name").alias("node"), "rep").distinct())
+    key = -1 - F.shiftleft(F.count(F.lit(1)), 31) - F.shiftrightunsigned("node", 33)
+    return scratch.save(large.join(_few(scratch.save(large.groupBy("node").agg(key.alias("key")))), "node").select(F.col("key").alias("node"), "rep").distinct())
+
+
+def _central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, central): the shingles that more than half of a group's sample have."""
+    for batch in batches:
+        pivots = []
+        for sample in batch.column("sample"):
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in sample.values]
+            names, times = np.unique(np.concatenate(sets), return_counts=True)
+            pivots.append(names[2 * times > len(sets)].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(pivots, pa.binary())], names=["node", "central"])
+
 
-    A leaf above the limits is dealt into blocks; each pair of blocks, and each block with itself, is a task.
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per member of a group: how many of its pivot's shingles it lacks, how many that one has, and its further ones."""
+    for batch in batches:
+        lacks, among, more = [], [], []
+        for own, pivot in zip(batch.column("shingles"), batch.column("central"), strict=True):
+            own, pivot = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(pivot.as_buffer(), np.uint64)
+            rest = np.setdiff1d(own, pivot, assume_unique=True)
+            lacks.append(len(pivot) - (len(own) - len(rest)))
+            among.append(len(pivot))
+            more.append(rest.view(np.int64))
+        lists = pa.array(more, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("rep"), pa.array(lacks, pa.int64()), pa.array(among, pa.int64()), lists], names=["node", "rep", "lacks", "among", "more"])
+
+
+def _placed(groups: DataFrame, members: DataFrame, shingles: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, rep, first, copies, core, lacks, shared, excess, side) of ``groups`` (node, rep), from how members differ from a pivot.
+
+    Of a pivot with p shingles let a member lack a and have b more. Then two members are linked if and only if they
+    lack or have in common c >= (e + e') / (2 * (5 + 4)), where e = 2 * (5 * a + 4 * b) - (5 - 4) * p is a member's
+    ``excess`` (for a similarity of 4 / 5). So members with e <= 0, the ``core``, are all linked to one another; a set
+    is in the core of its first group only. c is at most the lesser ``lacks`` and the lesser ``shared``, the number of
+    b that some other member has too. Sides, the blocks, follow the excess, so that bounds of whole blocks tell much;
+    those of members that have an earlier group come last.
+    """
+    sizes = groups.join(members.select("rep", "n"), "rep").groupBy("node").agg(F.ceil(F.greatest(F.count(F.lit(1)) / SAMPLE, F.sum("n") / BLOCK_SHINGLES)).alias("each"))
+    some = groups.join(_few(scratch.save(sizes)), "node").where(F.pmod(F.xxhash64("rep", F.lit("sample")), F.col("each")) == 0)
+    sample = some.join(shingles, "rep").groupBy("node").agg(F.collect_list("shingles").alias("sample"))
+    pivots = scratch.save(sample.mapInArrow(tidy(_central), "node long, central binary"))
+    held = pivots.agg(F.sum(F.octet_length("central"))).first()[0] or 0
+    # A group of few, very long sets may have no sample: then its pivot is empty, for which all below holds too.
+    pairs = groups.join(shingles, "rep").join(F.broadcast(pivots) if held <= 8 * MOST_BROADCAST else pivots, "node", "left").withColumn("central", F.coalesce("central", F.lit(b"")))
+    apart = scratch.save(pairs.mapInArrow(tidy(_differences), "node long, rep long, lacks long, among long, more array<long>"))
+    further = apart.select("node", "rep", F.explode("more").alias("shingle"))
+    twice = further.groupBy("node", "shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
+    shared = further.join(twice, ["node", "shingle"]).groupBy("node", "rep").agg(F.count(F.lit(1)).alias("shared"))
+    part = Fraction(str(SIMILARITY))
+    excess = 2 * (part.denominator * F.col("lacks") + part.numerator * F.size("more")) - (part.denominator - part.numerator) * F.col("among")
+    rows = apart.select("node", "rep", "lacks", excess.alias("excess")).join(shared, ["node", "rep"], "left").na.fill(0, ["shared"])
+    first = groups.groupBy("rep").agg(F.min("node").alias("first"))
+    rows = rows.join(first, "rep").join(members.select("rep", "copies", "n"), "rep")
+    place = F.col("excess") + F.pmod(F.xxhash64("rep"), F.lit(1000)) / 1000 + F.when(F.col("node") == F.col("first"), 0.0).otherwise(1e11)
+    rows = scratch.save(rows.select("*", ((F.col("excess") <= 0) & (F.col("node") == F.col("first"))).alias("core"), place.alias("place")))
+    cuts = F.percentile_approx("place", [i / PARTS for i in range(1, PARTS)], 10_000).alias("cuts")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks")
+    rows = rows.join(_few(scratch.save(rows.groupBy("node").agg(cuts, blocks))), "node")
+    above = F.size(F.filter("cuts", lambda x: x < F.col("place")))
+    deep = F.ceil(F.col("blocks") / PARTS)
+    side = F.floor(above * F.least("blocks", F.lit(PARTS)) / PARTS) * deep + F.pmod(F.xxhash64("rep", "node"), deep)
+    return scratch.save(rows.select("node", "rep", "first", "copies", "core", "lacks", "shared", "excess", side.cast("int").alias("side")))
+
+
+def _sides(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, rep, core, side, other): the blocks of its group in which a member can have a link that is to be checked."""
+    names = ("core", "lacks", "shared", "excess", "first", "last")
+    most = (F.min("core"), F.max("lacks"), F.max("shared"), F.min("excess"), F.min("first"), F.max("first"))
+    bounds = placed.groupBy("node", "side").agg(*[x.alias(name) for x, name in zip(most, names, strict=True)])
+    bounds = bounds.groupBy("node").agg(F.collect_list(F.struct("side", *names)).alias("others"))
+    part = Fraction(str(SIMILARITY))
+
+    def reached(x):
+        most = F.least("lacks", x["lacks"]) + F.least("shared", x["shared"])
+        # Pairs that have the same earlier group are compared there.
+        earlier = (F.col("first") != F.col("node")) & (x["first"] == F.col("first")) & (x["last"] == F.col("first"))
+        return ~(F.col("core") & x["core"]) & ~earlier & (2 * (part.denominator + part.numerator) * most >= F.col("excess") + x["excess"])
+
+    rows = placed.join(_few(scratch.save(bounds)), "node")
+    return rows.select("node", "rep", "core", "side", F.explode(F.transform(F.filter("others", reached), lambda x: x["side"])).alias("other"))
+
+
+def _core_links(placed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(rep, links, root) as ``_verified`` gives, of the links within cores."""
+    core = placed.where("core")
+    sums = core.groupBy("node").agg(F.sum("copies").alias("all"), F.min("rep").alias("root"))
+    return core.join(_few(scratch.save(sums)), "node").select("rep", (F.col("all") - F.col("copies")).alias("links"), "root").where("links > 0")
+
+
+def _tasks(leaves: DataFrame, sets: DataFrame, docs: DataFrame, text: str, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """The rows that a task compares, (task, node, side, alone, core, rep, copies, n, sketch, leaves); links that need none; shingles read so far.
+
+    A leaf above the limits is dealt into blocks; each pair of blocks, and each block with itself, is a task. Leaves
+    of more than ``FEW_BLOCKS`` become groups, whose keys come before those of leaves.
     """
-    own = leaves.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
     blocks = F.ceil(F.greatest(F.col("count") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    rows = leaves.select("*", blocks.alias("blocks")).withColumn("side", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    leaves = leaves.select(F.shiftrightunsigned("node", 1).alias("node"), "rep", "name", blocks.alias("blocks"))
+    plain, large = leaves.where(F.col("blocks") <= FEW_BLOCKS), leaves.where(F.col("blocks") > FEW_BLOCKS).select("name", "rep")
+    rows = plain.withColumn("side", F.pmod(F.xxhash64("rep", "node"), F.col("blocks")).cast("int"))
+    rows = rows.select("node", "rep", F.lit(False).alias("core"), "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    places, sure, shingles = plain.select("node", "rep"), None, None
+    if not large.isEmpty():
+        groups = _merged(large, scratch)
+        members = scratch.save(groups.select("rep").distinct().join(sets, "rep"))
+        shingles = scratch.save(_fetched(docs, text, members.select("rep", "doc_id", "same", "size")))
+        placed = _placed(groups, members, shingles, scratch)
+        rows, places, sure = rows.unionAll(_sides(placed, scratch)), places.unionAll(groups), _core_links(placed, scratch)
+    own = places.groupBy("rep").agg(F.sort_array(F.collect_set("node")).alias("leaves"))
     task = F.xxhash64("node", F.least("side", "other"), F.greatest("side", "other"))
-    rows = rows.select(task.alias("task"), "node", "side", (F.col("side") == F.col("other")).alias("alone"), "rep")
-    return rows.join(own, "rep").join(sets.select("rep", "copies", "n", "sketch"), "rep")
+    rows = rows.select(task.alias("task"), "node", "side", (F.col("side") == F.col("other")).alias("alone"), "core", "rep")
+    return rows.join(own, "rep").join(sets.select("rep", "copies", "n", "sketch"), "rep"), sure, shingles
 
 
 class _Group:
     """The members of one task, and which of their pairs it has to check."""
 
-    def __init__(self, sizes: np.ndarray, vectors: np.ndarray, side: np.ndarray, alone: bool, node: int, leaves: list[np.ndarray]):
-        self.sizes, self.vectors, self.side, self.alone, self.node, self.leaves = sizes, vectors, side, alone, node, leaves
+    def __init__(self, sizes: np.ndarray, vectors: np.ndarray, side: np.ndarray, core: np.ndarray, alone: bool, node: int, leaves: list[np.ndarray]):
+        self.sizes, self.vectors, self.side, self.core, self.alone, self.node, self.leaves = sizes, vectors, side, core, alone, node, leaves
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         m = len(self.sizes)
         if m == 2:
             a, b = sorted(self.sizes.tolist())
-            near = a >= SIMILARITY * b and (self.alone or self.side[0] != self.side[1])
+            near = a >= SIMILARITY * b and (self.alone or self.side[0] != self.side[1]) and not self.core.all()
             near = near and int((self.vectors[0] == self.vectors[1]).sum()) >= LEAST_EQUAL
             near = near and min(set(self.leaves[0].tolist()) & set(self.leaves[1].tolist())) == self.node
             return (np.array([0]), np.array([1])) if near else (np.zeros(0, int), np.zeros(0, int))
@@ -250,6 +379,7 @@ class _Group:
             equal = (self.vectors[own, None, :] == self.vectors[None, :, :]).sum(-1)
             small, large = np.minimum(self.sizes[own, None], self.sizes[None, :]), np.maximum(self.sizes[own, None], self.sizes[None, :])
             near = (equal >= LEAST_EQUAL) & (small >= SIMILARITY * large) & ~shared[own] & (np.arange(m)[None, :] > np.arange(m)[own, None])
+            near &= ~(self.core[own, None] & self.core[None, :])
             if not self.alone:
                 near &= self.side[own, None] != self.side[None, :]
             i, j = np.nonzero(near)
@@ -292,13 +422,13 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def _members(batch: pa.RecordBatch, starts: np.ndarray) -> Iterator[tuple[int, int, _Group]]:
     sizes, vectors = batch.column("n").to_numpy(), _vectors(batch.column("sketch"), np.uint8, COMPARED)
     side, node = batch.column("side").to_numpy(), batch.column("node").to_numpy()
-    alone = batch.column("alone").to_numpy(zero_copy_only=False)
+    alone, core = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("alone", "core"))
     lists = batch.column("leaves")
     at, keys = lists.offsets.to_numpy(), lists.values.to_numpy()
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
         if b - a > 1:
             leaves = [keys[at[i] : at[i + 1]] for i in range(a, b)]
-            yield a, b, _Group(sizes[a:b], vectors[a:b], side[a:b], bool(alone[a]), int(node[a]), leaves)
+            yield a, b, _Group(sizes[a:b], vectors[a:b], side[a:b], core[a:b], bool(alone[a]), int(node[a]), leaves)
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,13 +535,19 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     equal = scratch.save(base.where("n >= 0").groupBy(*keys).agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("copies"), first), size)
     sets = equal.select("rep", "copies").join(base.select(F.col("row").alias("rep"), "n", "vector", "sketch", "doc_id", "same", "size"), "rep")
     sets = scratch.save(sets.where("n > 0"), size)
-    rows = _tasks(_leaves(sets, scratch), sets)
+    rows, sure, known = _tasks(_leaves(sets, scratch), sets, docs, text, scratch)
     order = rows.repartition("task").sortWithinPartitions("task")
     near = scratch.save(order.mapInArrow(tidy(_sketched), order.schema), size)
     wanted = near.select("rep").distinct().join(sets.select("rep", "doc_id", "same", "size"), "rep")
+    if known is not None:
+        wanted = wanted.join(known.select("rep"), "rep", "left_anti")
     shingles = scratch.save(_fetched(docs, text, scratch.save(wanted, size)), 8 * size)
+    if known is not None:
+        shingles = shingles.unionAll(known)
     checked = near.join(shingles, "rep").repartition("task").sortWithinPartitions("task")
     linked = scratch.save(checked.mapInArrow(tidy(_verified), "rep long, links long, root long"), size)
+    if sure is not None:
+        linked = linked.unionAll(sure)
     roots = components(linked.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     named = equal.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(links, "rep", "left")

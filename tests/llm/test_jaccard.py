@@ -112,6 +112,43 @@ def test_blocks_by_shingles(spark, crowd, monkeypatch):
     assert got(df) == sorted(expected(crowd), key=str)
 
 
+def test_rows_to_compare_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """Texts close to one of their group are counted, those far from all are not dealt; all links are found."""
+    monkeypatch.setattr(jaccard, "LEAF", 20)
+    monkeypatch.setattr(jaccard, "BLOCK", 10)
+    made, tasks = [], jaccard._tasks
+
+    def counted(*args):
+        found = tasks(*args)
+        made.append((found[0] if isinstance(found, tuple) else found).count())
+        return found
+
+    monkeypatch.setattr(jaccard, "_tasks", counted)
+    base = prose(5, 200)
+    for n in (100, 400):
+        texts = [edited(base, 12 if i % 3 == 0 else 4 if i % 50 == 1 else 1 + i % 2, i) for i in range(n)]
+        rows = list(enumerate([*texts, *texts[:5]]))
+        assert got(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(expected(rows), key=str)
+    # Four in proportion, sixteen by the square; more runs add to it.
+    assert made[1] <= 10 * made[0]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_groups_that_overlap(spark, monkeypatch, seed):
+    """Families around texts that are near copies themselves, with edits in common, lacking and added words."""
+    monkeypatch.setattr(jaccard, "LEAF", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    pick, base = random.Random(seed), prose(seed, 120)
+    heads = [edited(base, 2 * i, i) for i in range(5)]
+    texts = []
+    for i in range(160):
+        words = edited(pick.choice(heads), pick.choice((0, 1, 1, 2, 3, 6)), pick.randint(0, 60)).split()
+        a = pick.randint(0, 25)
+        texts.append(" ".join(words[a if i % 4 == 0 else 0 :] + (["more", "of", "it", f"t{i % 3}"] * (i % 5))))
+    rows = list(enumerate(texts))
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == sorted(expected(rows), key=str)
+
+
 @pytest.mark.parametrize("depth, pairs", [(6, 5_000), (8, 1_500)])
 def test_recall_of_planted_pairs(spark, monkeypatch, depth, pairs):
     """Pairs at the threshold meet in a leaf of the real runs, among sets that have nothing in common with them."""
