@@ -52,9 +52,9 @@ def exact_avg(column: str) -> str:
     return f"CAST(SUM(CAST({column} AS DECIMAL(18,2))) AS DOUBLE) / COUNT({column})"
 
 
-def loaded(spark: SparkSession, sf_dir: str, name: str, parts: int = 1, by: str | None = None, one_file: bool = False, lake: Lake | None = None) -> Table:
-    """One of the driver's tables in a lake of its own (or in ``lake``), inserted in ``parts`` by remainders of a column."""
-    df = source(spark, sf_dir, name)
+def loaded(spark: SparkSession, sf_dir: str, name: str, parts: int = 1, by: str | None = None, one_file: bool = False, lake: Lake | None = None, df: DataFrame | None = None) -> Table:
+    """One of the driver's tables (or ``df`` of its rows) in a lake of its own (or in ``lake``), inserted in ``parts`` by remainders of a column."""
+    df = source(spark, sf_dir, name) if df is None else df
     table = (lake or Lake(spark, fresh_root(spark))).create_table(name, df.schema)
     for part in range(parts):
         rows = df.where(F.col(by) % parts == part) if by else df

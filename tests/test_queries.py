@@ -1,7 +1,10 @@
 """Every query of the core against its SQL on the driver's tables."""
 
+import os
 from functools import partial
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tarn import queries, table_queries  # noqa: F401  the latter registers its queries
@@ -42,3 +45,16 @@ def test_layouts_of_more_than_a_row_group(spark, monkeypatch):
     monkeypatch.setattr(kind, "collect", lambda self: [rows.append(x) or x for x in collect(self)])
     assert_same(queries.QUERIES["write_layouts"], queries.ORACLES["write_layouts"], spark, FOLDER)
     assert rows and not any(isinstance(x, bytes | bytearray) for r in rows for x in r)
+
+
+@pytest.fixture(scope="module")
+def wide_orders(tmp_path_factory):
+    """Orders of 44 MB that hardly compress: four files of them are not small."""
+    where, n = tmp_path_factory.mktemp("wide"), 1100
+    texts = [os.urandom(20_000).hex() for _ in range(n)]
+    pq.write_table(pa.table({"o_orderkey": range(n), "o_orderstatus": ["FOP"[i % 3] for i in range(n)], "o_orderpriority": texts}), where / "orders.parquet")
+    return str(where)
+
+
+def test_compaction_of_orders_whose_quarters_are_large(spark, wide_orders):
+    assert_same(queries.QUERIES["compact_preserves"], queries.ORACLES["compact_preserves"], spark, wide_orders)
